@@ -4,14 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corridor.llm import quality_rules
+from corridor.llm import arrow_sequences, language_id, packing, quality_rules
 from corridor.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+WORD_BPE = "word_bpe_49k.json"
+
+
+def _crc_mod(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, from profiles of the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(_crc_mod(4) == 2, F.lit(False))
+    profiles = language_id.train(docs.where(~held))
+    return language_id.predict(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op2_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Arrow sequence files, read back."""
+    return arrow_sequences.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ledger of all documents under the current policy."""
     judged = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -21,7 +48,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_quality_rules": op5_quality_rules}
+    return {
+        "op1_language_id": op1_language_id,
+        "op2_arrow_sequences": op2_arrow_sequences,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_packing": op6_packing,
+    }
 
 
 def oracles() -> dict[str, str]:
