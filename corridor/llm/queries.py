@@ -8,13 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridor.llm import arrow_sequences, language_id, packing, quality_rules
+from corridor.llm import (
+    arrow_sequences,
+    byte_bpe,
+    language_id,
+    ngram_jaccard,
+    ordinal_quality,
+    packing,
+    pii,
+    progressive_jpeg,
+    quality_rules,
+    toxicity,
+)
 from corridor.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+#: The queries' key for pseudonyms; a user passes one of their own.
+PSEUDONYM_KEY = b"corridor demonstration key"
 
 
 def _crc_mod(n: int):
@@ -34,6 +48,19 @@ def op2_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a lexicon from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(_crc_mod(3) == 1, F.lit(False))
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, lexicon).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 3-word shingle sets have a Jaccard index of 0.9 or more."""
+    return ngram_jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -47,12 +74,48 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data permuted within its format."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY).select("doc_id", "text", "n_pii")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to byte-level tokens and decoded."""
+    return byte_bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored in progressive JPEGs and read back."""
+    return progressive_jpeg.read_media(progressive_jpeg.write_media(table(spark, sf_dir, "documents")))
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """Ratings from labels: 0 is poor, 1 sound but toxic, 2 good."""
+    return labels.selectExpr("doc_id", "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 END AS grade")
+
+
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and selection of every document, from the ratings that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(_crc_mod(5) == 0, F.lit(False))
+    model = ordinal_quality.train(docs, graded(table(spark, sf_dir, "labels")).where(~held))
+    found = ordinal_quality.score(docs, model)
+    tail = F.coalesce(F.get("tails", F.lit(0)), F.lit(1.0))
+    return found.select("doc_id", held.alias("held_out"), "expected_grade", tail.alias("score"), (tail >= 0.5).alias("kept"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_arrow_sequences": op2_arrow_sequences,
+        "op3_toxicity": op3_toxicity,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
         "op6_packing": op6_packing,
+        "op7_pii_pseudonyms": op7_pii_pseudonyms,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op9_progressive_jpeg": op9_progressive_jpeg,
+        "op10_ordinal_quality": op10_ordinal_quality,
     }
 
 
