@@ -56,8 +56,9 @@ class SequenceWriter:
         self.held.append(own)
         self.n_held += len(own)
         self.n_tokens += len(own)
-        if self.n_held >= self.length * SEQUENCES_PER_BATCH:
-            self._flush(self.n_held // self.length * self.length)
+        step = self.length * SEQUENCES_PER_BATCH
+        if self.n_held >= step:  # all batches but the last are full, so places stay plain arithmetic
+            self._flush(self.n_held // step * step)
 
     def _flush(self, n: int) -> None:
         flat = np.concatenate(self.held)
@@ -75,14 +76,10 @@ class SequenceWriter:
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
-        full = self.n_held // self.length * self.length
-        if full:
-            self._flush(full)
         if self.n_held:
-            last = np.zeros(self.length, dtype=np.uint16)
-            own = np.concatenate(self.held)
-            last[: len(own)] = own
-            self._put(last, len(own))
+            flat = np.zeros(-(-self.n_held // self.length) * self.length, dtype=np.uint16)
+            flat[: self.n_held] = np.concatenate(self.held)
+            self._put(flat, self.n_held)
         self.writer.close()
 
 
@@ -114,6 +111,8 @@ class SequenceFile:
         while n > 0:
             k, j = divmod(start, step)
             own = self._flat(k)[j : j + n]
+            if not len(own):
+                raise ValueError("position beyond the file's end")
             parts.append(own)
             start, n = start + len(own), n - len(own)
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
