@@ -166,7 +166,7 @@ def train(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS) -> Ordina
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     """``docs`` with ``expected_grade`` and ``tails`` (probability of at least each higher grade)."""
     at = docs.columns.index("text")
-    kind = T.StructType(list(docs.schema.fields)).add("expected_grade", "double").add("tails", T.ArrayType(T.DoubleType()))
+    kind = T.StructType(list(docs.schema.fields)).add("expected_grade", T.DoubleType()).add("tails", T.ArrayType(T.DoubleType()))
     steps = np.diff(model.grades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

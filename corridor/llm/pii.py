@@ -254,8 +254,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
             counts = pa.array([len(f) for f in finds], pa.int32())
             yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(finds, spans)], [*batch.schema.names, "n_pii", "pii"])
 
-    kind = T.StructType(list(docs.schema.fields)).add("n_pii", "int")
-    kind = kind.add("pii", T.ArrayType(T.StructType().add("kind", "string").add("start", "int").add("end", "int")))
+    span = T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
+    kind = T.StructType(list(docs.schema.fields)).add("n_pii", T.IntegerType()).add("pii", T.ArrayType(span))
     return docs.mapInArrow(run, kind)
 
 
