@@ -202,7 +202,7 @@ KINDS: tuple[tuple[str, str, Find], ...] = (
     ("date", r"(?<![\d/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d]|[/-]\d)", _date),
     ("ssn", r"(?<![\d-])\d{3}([- ])\d{2}\1\d{4}(?![\d-])", _ssn),
     ("card", r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])", _card),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])", _phone),
+    ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])", _phone),
 )
 _PATTERNS = tuple((kind, re.compile(p), f) for kind, p, f in KINDS)
 _MAY = re.compile(r"[0-9@]|(?i:password|passwd|secret|token|api[_-]?key)")
@@ -219,13 +219,15 @@ def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
         return text, []
     found: list[tuple[int, int, str, str]] = []
     for at, (kind, pattern, _) in enumerate(_PATTERNS):
-        for m in pattern.finditer(text):
+        m = pattern.search(text)
+        while m:
             start, end = m.span("v") if "v" in pattern.groupindex else m.span()
-            if any(start < b and a < end for a, b, _, _ in found):
-                continue
-            new = _replaced(at, text[start:end], key, back)
+            free = not any(start < b and a < end for a, b, _, _ in found)
+            new = _replaced(at, text[start:end], key, back) if free else None
             if new is not None:
                 found.append((start, end, kind, new))
+            # what fails may hide a value that begins later within it
+            m = pattern.search(text, m.end() if new is not None else m.start() + 1)
     found.sort()
     out, done = [], 0
     for start, end, _, new in found:
