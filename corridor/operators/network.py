@@ -66,9 +66,10 @@ def largest_component(links: DataFrame) -> DataFrame:
         trimmed = trimmed.select("from_node", "to_node")
         both = trimmed.select(F.col("from_node").alias("node")).intersect(trimmed.select(F.col("to_node").alias("node")))
         both = materialise(both, "trimmed")  # the others are components of their own
+        lone = left.join(both, "node", "left_anti").agg(F.min("node")).first()[0]
+        if lone is not None and (best is None or (-1, lone) < (-best[0], best[1])):
+            best, best_nodes = (1, lone), left.where(F.col("node") == lone)
         if both.limit(1).count() == 0:
-            if best is None:
-                best_nodes = left.orderBy("node").limit(1)
             break
         inner = materialise(trimmed, "edges")
         pivot = inner.groupBy(F.col("from_node").alias("node")).count().join(both, "node", "left_semi").orderBy(F.desc("count"), "node").limit(1).select("node")
