@@ -25,13 +25,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Blocks between restart markers, and payload bytes handled at once.
-RESTART = 8
+RESTART = 2
 CHUNK_BYTES = 1 << 20
 #: Scans of a component: first and last coefficient, earlier and own bit position.
 SCANS = ((0, 0, 0, 1), (1, 5, 0, 1), (6, 63, 0, 1), (0, 0, 1, 0), (1, 63, 1, 0))
@@ -377,20 +378,27 @@ def _extend(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _units(image: Image, which: tuple[int, ...], offsets: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
     """Component and block of each unit of a scan in coded order, and units in an MCU."""
-    cols, rows = image.mcus
+    comp, block, per = _places(tuple(image.components), image.width, image.height, which)
+    return comp, block + np.array(offsets)[comp] if len(which) > 1 else block + offsets[which[0]], per
+
+
+@lru_cache(maxsize=256)
+def _places(components: tuple, width: int, height: int, which: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    """``_units`` of an image whose blocks begin at 0."""
+    hm, vm = max(x[1] for x in components), max(x[2] for x in components)
+    cols, rows = -(-width // (8 * hm)), -(-height // (8 * vm))
     if len(which) == 1:
         c = which[0]
-        _, h, v, _ = image.components[c]
-        hm, vm = max(x[1] for x in image.components), max(x[2] for x in image.components)
-        wide, high = -(-image.width * h // (8 * hm)), -(-image.height * v // (8 * vm))
+        _, h, v, _ = components[c]
+        wide, high = -(-width * h // (8 * hm)), -(-height * v // (8 * vm))
         blocks = (np.arange(high)[:, None] * (cols * h) + np.arange(wide)).reshape(-1)
-        return np.full(len(blocks), c), blocks + offsets[c], 1
+        return np.full(len(blocks), c), blocks, 1
     comps, parts = [], []
     for c in which:
-        _, h, v, _ = image.components[c]
+        _, h, v, _ = components[c]
         y = np.arange(rows)[:, None, None, None] * v + np.arange(v)[None, None, :, None]
         x = np.arange(cols)[None, :, None, None] * h + np.arange(h)[None, None, None, :]
-        parts.append((y * (cols * h) + x + offsets[c]).reshape(rows * cols, v * h))
+        parts.append((y * (cols * h) + x).reshape(rows * cols, v * h))
         comps.append(np.full((rows * cols, v * h), c))
     return np.concatenate(comps, axis=1).reshape(-1), np.concatenate(parts, axis=1).reshape(-1), sum(p.shape[1] for p in parts)
 
