@@ -165,7 +165,10 @@ def filter_documents(docs: DataFrame, version: str = "v1") -> DataFrame:
     """
     packed = docs.select(F.struct("*").alias("doc_id"), F.col("text"))  # the whole row rides as the id
     judged = apply_policy(ledger(packed), version)
-    return judged.where("kept").select("doc_id.*")
+    # the row number makes the verdict a column of its own: pushed into the scan's filter, its text would be
+    # put in for every use of a measurement, and grow with each
+    marked = judged.select("doc_id", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("stays"))
+    return marked.where("stays").select("doc_id.*")
 
 
 SQL = r"""
