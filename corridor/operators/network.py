@@ -51,6 +51,48 @@ def hops(links: DataFrame, sources: DataFrame) -> DataFrame:
             found = materialise(found, "reach")
 
 
+#: Pairs of an origin and a visited node that a block of origins holds at most.
+VISITED = 20_000_000
+
+
+def paths(links: DataFrame, trips: DataFrame, visited: int = VISITED) -> DataFrame:
+    """All rows of ``trips`` (``origin, destination``) with ``path``, the nodes of a fewest-hop path.
+
+    Of several, ``path`` is the one that a breadth-first search finds whose links are tried by ``link_pos``:
+    a level's nodes are visited in the order of their own paths, so it is the least by the positions of its
+    links, the first one first. It is ``[origin]`` where both ends are equal, and null where there is no path
+    or an end is null. Origins are searched in blocks; a level is one join, and only the frontier carries paths.
+    """
+    whole = links.where("link_id <> '' AND from_node <> '' AND to_node <> ''")
+    edges = whole.groupBy(F.col("from_node").alias("node"), F.col("to_node").alias("to")).agg(F.min("link_pos").cast("long").alias("pos"))
+    edges = materialise(edges, "edges")
+    pairs = materialise(trips.where("origin <> destination").select("origin", "destination").distinct(), "pairs")
+    most = pairs.select("origin").distinct().count() * edges.select("to").distinct().count()
+    blocks = max(1, -(-most // visited))
+    done = pairs.limit(0).withColumn("path", F.array("origin"))
+    for block in range(blocks):
+        wanted = pairs.where(F.pmod(F.xxhash64("origin"), F.lit(blocks)) == block)
+        frontier = wanted.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.array().cast("array<bigint>").alias("at"), F.array("origin").alias("path"))
+        found, level = frontier.select("origin", "node"), 0
+        while True:
+            level += 1
+            step = frontier.join(edges, "node").select("origin", F.col("to").alias("node"), F.concat("at", F.array("pos")).alias("at"), F.concat("path", F.array("to")).alias("path"))
+            new = step.join(found, ["origin", "node"], "left_anti").groupBy("origin", "node").agg(F.min(F.struct("at", "path")).alias("x"))
+            frontier = materialise(new.select("origin", "node", "x.at", "x.path"), "frontier")
+            reached = frontier.select("origin", F.col("node").alias("destination"), "path")
+            done = done.union(wanted.join(reached, ["origin", "destination"]))
+            wanted = materialise(wanted.join(reached, ["origin", "destination"], "left_anti"), "wanted")
+            frontier = frontier.join(wanted.select("origin").distinct(), "origin", "left_semi").select("origin", "node", "at", "path")
+            if frontier.limit(1).count() == 0:
+                break
+            found = found.union(frontier.select("origin", "node"))
+            if level % 8 == 0:
+                found, done = materialise(found, "reach"), materialise(done, "paths")
+        done = materialise(done, "paths")
+    path = F.when(F.col("origin") == F.col("destination"), F.array("origin")).otherwise(F.col("path"))
+    return trips.join(done, ["origin", "destination"], "left").select(*trips.columns, path.alias("path"))
+
+
 def largest_component(links: DataFrame) -> DataFrame:
     """Nodes of the largest strongly connected component; ties go to the smallest node id.
 

@@ -148,6 +148,12 @@ def gr_bfs(spark, sf_dir):
     return network.hops(links, links.agg(F.min("from_node").alias("node")))
 
 
+@query("gr_bfs_paths")  # no SQL: it has no first-come order of search; tests/test_operators.py holds the paths against a search in Python
+def gr_bfs_paths(spark, sf_dir):
+    found = network.paths(views.links(spark, sf_dir), views.trips(spark, sf_dir).select("trip_id", "origin", "destination"))
+    return found.select("trip_id", "origin", "destination", F.array_join("path", " ").alias("path"))
+
+
 @query(
     "flt_feasible",
     _recursive(

@@ -1,7 +1,10 @@
 """Operators on hand-computed cases."""
 
 import math
+import random
+from collections import deque
 
+from corridor import registry, views
 from corridor.operators import demand, events, fidelity, network, statistics
 
 
@@ -77,3 +80,49 @@ def test_events(spark):
     assert [tuple(r) for r in found.collect()] == [(1, 7, 5, 9)]
     frames = spark.createDataFrame([(5,), (8,), (20,)], "t long")
     assert {tuple(r) for r in events.active_at(found, frames, 4).collect()} == {(5, 1), (8, 1)}
+
+
+def _search(links, origin, dest):
+    """A breadth-first search over ``(link_pos, from, to)`` in order."""
+    if origin is None or dest is None:
+        return None
+    parent, queue = {origin: None}, deque([origin])
+    while queue:
+        node = queue.popleft()
+        if node == dest:
+            path = [node]
+            while parent[path[-1]] is not None:
+                path.append(parent[path[-1]])
+            return path[::-1]
+        for _, a, b in links:
+            if a == node and b not in parent:
+                parent[b] = node
+                queue.append(b)
+    return None
+
+
+def test_paths(spark):
+    rnd = random.Random(3)
+    nodes = [f"n{i}" for i in range(9)]
+    for visited in (50, 1000):
+        pairs = [(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(22)]
+        order = rnd.sample(range(100), len(pairs))
+        rows = [(f"l{i}", p, a, b, 1.0) for i, (p, (a, b)) in enumerate(zip(order, pairs))]
+        links = spark.createDataFrame(rows, "link_id string, link_pos long, from_node string, to_node string, length double")
+        ends = [(a, b) for a in [*nodes, "far", None] for b in [*nodes, "far", None]]
+        trips = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*ends, *ends[:5]])], "trip_id long, origin string, destination string")
+        own = sorted((p, a, b) for _, p, a, b, _ in rows)
+        found = {r["trip_id"]: r["path"] for r in network.paths(links, trips, visited).collect()}
+        assert found == {i: _search(own, a, b) for i, (a, b) in enumerate([*ends, *ends[:5]])}
+    long = _links(spark, [(f"v{i}", f"v{i + 1}") for i in range(19)])
+    trips = spark.createDataFrame([("v0", "v19"), ("v19", "v0")], "origin string, destination string")
+    assert {r["origin"]: r["path"] for r in network.paths(long, trips).collect()} == {"v0": [f"v{i}" for i in range(20)], "v19": None}
+
+
+def test_every_trip_has_its_path(spark):
+    sf = "/root/testdata/sf0.001"
+    links = sorted(tuple(r) for r in views.links(spark, sf).select("link_pos", "from_node", "to_node").collect())
+    trips = views.trips(spark, sf).collect()
+    found = {r["trip_id"]: r["path"] for r in registry.queries()["gr_bfs_paths"](spark, sf).collect()}
+    paths = {r["trip_id"]: _search(links, r["origin"], r["destination"]) for r in trips}
+    assert found == {k: p if p is None else " ".join(p) for k, p in paths.items()}
