@@ -37,14 +37,15 @@ STEPS = 150
 RIDGE = 2e-4
 _SHAPES = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m.group().isupper() else "a" if m.group().islower() else "Aa"), (re.compile(r"\d+"), lambda m: "9"))
 _SIGN_RUN = re.compile(r"([^\w\s])\1+")
-_KNOWN: dict[str, tuple[int, int]] = {}
+_KNOWN: dict[str, tuple[int, int, int]] = {}
 
 
 def _place(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}".encode("utf-8", "surrogatepass")) % SIZE
 
 
-def _places(word: str) -> tuple[int, int]:
+def _places(word: str) -> tuple[int, int, int]:
+    """The places of a word and of its shape, and its upper-case characters."""
     found = _KNOWN.get(word)
     if found is None:
         shape = _SIGN_RUN.sub(r"\1+", word[:40])
@@ -52,7 +53,7 @@ def _places(word: str) -> tuple[int, int]:
             shape = pattern.sub(name, shape)
         if len(_KNOWN) > CACHE_WORDS:
             _KNOWN.clear()
-        found = _KNOWN[word] = (_place("word", word.lower()), _place("shape", shape))
+        found = _KNOWN[word] = (_place("word", word.lower()), _place("shape", shape), sum(map(str.isupper, word)))
     return found
 
 
@@ -70,12 +71,12 @@ def features(text: str | None) -> np.ndarray:
     x += np.sqrt(np.bincount(places[:, 0], weights=share, minlength=SIZE)) * 0.3
     x += np.sqrt(np.bincount(places[:, 1], weights=share, minlength=SIZE))
     lines = [line for line in text.split("\n") if line.strip()]
-    letters = sum(map(str.isupper, text)) if n < 200 else text[:1] and sum(w.isupper() for w in counts) * len(text) // len(counts)
+    capitals = sum(k * c for k, c in zip(counts.values(), places[:, 2].tolist()))
     whole = {
         "repeated": 1 - len(counts) / n,
         "again": sum(map(eq, words, words[1:])) / n,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
-        "capitals": letters / len(text),
+        "capitals": capitals / len(text),
         "words": min(1.0, np.log2(n + 1) / 16),
         "letters": min(1.0, len(text) / n / 20),
     }

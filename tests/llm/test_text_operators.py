@@ -151,3 +151,15 @@ def test_packing_is_whole(spark):
             assert offset == at
             at += n
         assert at <= 4096
+
+
+def test_ordinal_capitals_at_every_length():
+    value = ordinal_quality._place("capitals", "value")
+    calm = lambda n: [a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnr"][:n]
+    for n in (3, 149, 150, 300, 5000):
+        text = " ".join(["BUY!!"] * n + calm(100) + ["mIxEd"] * (n // 3))
+        plain = " ".join(["buy!!"] * n + calm(100) + ["mixed"] * (n // 3))
+        share = sum(map(str.isupper, text)) / len(text)
+        tenth = ordinal_quality._place("capitals", str(int(share * 10)))
+        found, low = ordinal_quality.features(text), ordinal_quality.features(plain)
+        assert abs(found[value] - low[value] - share) < 1e-9 and found[tenth] >= 1
