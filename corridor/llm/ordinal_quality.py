@@ -33,6 +33,8 @@ SIZE = 4096
 #: Rated rows used at most, and words a worker keeps the places of.
 TRAIN_ROWS = 3_000
 CACHE_WORDS = 500_000
+#: Longer words are looked at anew each time, so that the kept ones stay small.
+CACHE_CHARS = 64
 STEPS = 150
 RIDGE = 2e-4
 _SHAPES = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m.group().isupper() else "a" if m.group().islower() else "Aa"), (re.compile(r"\d+"), lambda m: "9"))
@@ -48,12 +50,14 @@ def _places(word: str) -> tuple[int, int, int]:
     """The places of a word and of its shape, and its upper-case characters."""
     found = _KNOWN.get(word)
     if found is None:
-        shape = _SIGN_RUN.sub(r"\1+", word[:40])
+        shape = _SIGN_RUN.sub(r"\1+", word)
         for pattern, name in _SHAPES:
             shape = pattern.sub(name, shape)
-        if len(_KNOWN) > CACHE_WORDS:
-            _KNOWN.clear()
-        found = _KNOWN[word] = (_place("word", word.lower()), _place("shape", shape), sum(map(str.isupper, word)))
+        found = (_place("word", word.lower()), _place("shape", shape), sum(map(str.isupper, word)))
+        if len(word) <= CACHE_CHARS:
+            if len(_KNOWN) > CACHE_WORDS:
+                _KNOWN.clear()
+            _KNOWN[word] = found
     return found
 
 

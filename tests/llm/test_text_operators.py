@@ -163,3 +163,11 @@ def test_ordinal_capitals_at_every_length():
         tenth = ordinal_quality._place("capitals", str(int(share * 10)))
         found, low = ordinal_quality.features(text), ordinal_quality.features(plain)
         assert abs(found[value] - low[value] - share) < 1e-9 and found[tenth] >= 1
+
+
+def test_ordinal_shapes_see_the_whole_word():
+    for n in (39, 40, 64, 65, 100_000):
+        shapes = {ordinal_quality._places("a" * n + end)[1] for end in ("", '"', "9!!", "XY", ":9")}
+        assert len(shapes) == 5
+    assert ordinal_quality._places("a" * 30 + '9!!')[1] == ordinal_quality._places("a" * 90_000 + "123!!!!")[1]
+    assert max(map(len, ordinal_quality._KNOWN)) <= ordinal_quality.CACHE_CHARS
