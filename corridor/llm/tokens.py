@@ -50,6 +50,8 @@ class ChunkEncoder:
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
+        #: The library looks for these in the raw text, before it lower-cases.
+        self.marks = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
         self.known: dict[str, bytes] = {}
 
     def _ask_words(self, words: list[str]) -> Iterable[bytes]:
@@ -92,11 +94,13 @@ class ChunkEncoder:
             known.update(fresh)
         return fresh
 
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """The chunks of a text, in lower case where that provably commutes with the tokenizer's own steps."""
+    def _split(self, text: str) -> list[str]:
+        """The chunks of a text, in lower case where that provably commutes with the tokenizer's own steps.
+
+        It does not where lower-casing makes an added token: the text then stays as it is.
+        """
         low = text.lower()
-        if "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+        if not any(m in low for m in self.marks) and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
             text = low
         return [c for c in text.replace("\n", " ").split(" ") if c]
 

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from corridor.llm import arrow_sequences, byte_bpe, language_id, ngram_jaccard, ordinal_quality, packing, pii, progressive_jpeg, quality_rules, toxicity
+from corridor.llm import arrow_sequences, byte_bpe, language_id, ngram_jaccard, ordinal_quality, packing, pii, progressive_jpeg, quality_rules, tokens, toxicity
 
 EDGES = [(1, None), (2, ""), (3, "a " * 30_000), (4, "one two"), (4, "one two"), (5, " \n\t "), (None, "no id here"), (6, "é日本🙂 x")]
 
@@ -171,3 +171,15 @@ def test_ordinal_shapes_see_the_whole_word():
         assert len(shapes) == 5
     assert ordinal_quality._places("a" * 30 + '9!!')[1] == ordinal_quality._places("a" * 90_000 + "123!!!!")[1]
     assert max(map(len, ordinal_quality._KNOWN)) <= ordinal_quality.CACHE_CHARS
+
+
+def test_chunk_encoder_equals_encode():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = tokens.ChunkEncoder(path)
+    rnd = random.Random(6)
+    parts = ["x", "Word", "STRASSE", "it's", "naïve", "e\u0301", "İ", "ΟΔΟΣ", "日本", "🙂", "12", "a,", "B.", "<|", "|>", "endoftext"]
+    parts += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", " ", " ", "  ", "\n", "\t", "\xa0", "\u2028"]
+    texts = ["x <|ENDOFTEXT|> y", "x <|endoftext|> Y", "UP<|StartOfText|>up", "", None, *("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12))) for _ in range(1500))]
+    found = [tokens.as_u4(ids).tolist() for ids in own.encode(texts)]
+    assert found == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert found[0] == [343, 27, 347, 40786, 4160, 91, 285, 344]
