@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corridor.session import materialise
 
@@ -50,6 +51,8 @@ PIVOTS = 3
 CACHE_WORDS = 1_000_000
 #: Multipliers (odd 64-bit numbers) of the global orders besides the hash's own.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Rows that agree in these are one class.
+KEY = ["n", "sig1", "sig2"]
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _KNOWN: dict[str, int] = {}
@@ -247,8 +250,12 @@ def link_classes(sets: DataFrame, docs: DataFrame, size: int = WORDS, percent: i
     pivots = materialise(alive.select("token", F.array_compact(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")), "pivots")
     members = buckets.join(pivots, "token")
     ids = members.select("v").distinct()
-    held = docs.join(sets.select("v", "doc_id").join(ids, "v"), "doc_id")
-    held = materialise(_of_their_class(held, size), "sets")
+    searched = sets.select("v", "doc_id").join(ids, "v")
+    held = _of_their_class(docs.join(searched, "doc_id"), size)
+    # a class without an id is found by its text alone
+    bare = _signed(docs.where("doc_id IS NULL").select("text"), size).select(F.col("_sig1").alias("v"), "text")
+    bare = bare.join(searched.where("doc_id IS NULL").select("v"), "v", "left_semi").dropDuplicates(["v"])
+    held = materialise(held.union(bare), "sets")
 
     star = members.select(F.col("v").alias("a"), F.col("n").alias("na"), F.explode("p").alias("q")).select("a", "na", F.col("q.v").alias("b"), F.col("q.n").alias("nb"))
     first = materialise(verify(_meets(star, percent), held, size, percent), "links")
@@ -274,24 +281,63 @@ def link_classes(sets: DataFrame, docs: DataFrame, size: int = WORDS, percent: i
     return components(first.union(second))
 
 
-def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and ``n, sig1, sig2, doc_id, comp`` of every class: its smallest id and its component."""
     docs = docs.select("doc_id", "text")
     rows = materialise(sketches(docs, size, percent), "sketches")
-    key = ["n", "sig1", "sig2"]
-    classes = materialise(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id")), "classes")
-    sets = rows.join(classes, ["doc_id", *key]).select(F.col("sig1").alias("v"), "doc_id", "n", "prefix").dropDuplicates(["v", "doc_id"])
+    classes = materialise(rows.where("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("doc_id")), "classes")
+    own = [rows[k].eqNullSafe(classes[k]) for k in ("doc_id", *KEY)]  # a class without an id is held by its rows
+    sets = rows.join(classes, own, "left_semi").select(F.col("sig1").alias("v"), "doc_id", "n", "prefix").dropDuplicates(["v", "doc_id"])
     linked = link_classes(materialise(sets, "representatives"), docs, size, percent)
-    named = materialise(classes.join(linked.withColumnRenamed("v", "sig1"), "sig1", "left").select(*key, "doc_id", F.coalesce("comp", "sig1").alias("comp")), "named")
+    named = classes.join(linked.withColumnRenamed("v", "sig1"), "sig1", "left").select(*KEY, "doc_id", F.coalesce("comp", "sig1").alias("comp"))
+    return rows, materialise(named, "named")
+
+
+def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    rows, named = _classes(docs, size, percent)
     lowest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "comp").select(*key, "component_id")
-    out = rows.select("doc_id", *key).join(named, key, "left")
+    named = named.join(lowest, "comp").select(*KEY, "component_id")
+    out = rows.select("doc_id", *KEY).join(named, KEY, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _signed(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with each row's own class (``_n, _sig1, _sig2``)."""
+    at = docs.columns.index("text")
+    kind = T.StructType([*docs.schema.fields, *(T.StructField(f"_{k}", T.LongType()) for k in KEY)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), size) for t in batch.column(at)]
+            sig = np.array([_signature(own) for own in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [*batch.columns, pa.array([len(own) for own in sets], pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f"_{k}" for k in KEY)])
+
+    return docs.mapInArrow(run, kind)
+
+
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns; rows with a null id stay."""
-    found = materialise(join(docs, size, percent), "components")
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id IS NOT NULL").join(chosen, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component, with all its columns.
+
+    It is a row with the smallest id, one without an id only where no row has one; of several
+    with that id the class with the smallest signature and then the smallest row hash decide.
+    Rows without a shingle stay, equal texts under one id once.
+    """
+    rows, named = _classes(docs, size, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig1", "sig2", "n")).alias("c")
+    chosen = materialise(named.groupBy("comp").agg(least).select("c.doc_id", "c.sig1", "c.sig2", "c.n"), "chosen")
+    ids = materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k"), F.max("n").alias("n")), "ids")
+    # an id of one row names its class
+    lone = ids.where("k = 1")
+    kept = lone.where("n = 0").select("doc_id").union(lone.join(chosen, "doc_id", "left_semi").select("doc_id"))
+    one = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    # rows of other ids and without one are told apart by their own texts
+    many = docs.join(ids.where("k > 1"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    many = materialise(_signed(many, size), "repeated")
+    own = [many[f"_{k}"] == chosen[k] for k in KEY]
+    found = many.join(chosen, [many["doc_id"].eqNullSafe(chosen["doc_id"]), *own], "left_semi")
+    bare = many.where("_n = 0")
+    order = F.xxhash64(*docs.columns)
+    first = lambda df, *keys: df.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
+    return one.union(first(found, "doc_id", *(f"_{k}" for k in KEY))).union(first(bare.where("doc_id IS NOT NULL"), "doc_id", "text")).union(bare.where("doc_id IS NULL").select(*docs.columns))

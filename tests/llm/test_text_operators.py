@@ -183,3 +183,44 @@ def test_chunk_encoder_equals_encode():
     found = [tokens.as_u4(ids).tolist() for ids in own.encode(texts)]
     assert found == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert found[0] == [343, 27, 347, 40786, 4160, 91, 285, 344]
+
+
+def test_keep_one_of_repeated_and_null_ids(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(14):
+        base = [rnd.choice(words) for _ in range(120)]
+        for step in range(rnd.randint(1, 4)):
+            base = [*base[: 20 * step + 5], f"new{k}x{step}", *base[20 * step + 6 :]]
+            rows.append((rnd.choice([None, None, 1, 2, 3, 100 + len(rows)]), " ".join(base)))
+    chain = [rnd.choice(words) for _ in range(120)]
+    for i, no in enumerate((50, None, None, 51)):  # the ends are linked by rows without an id alone
+        rows.append((no, " ".join(chain)))
+        chain = [f"c{i}" if j == 30 * i + 5 else w for j, w in enumerate(chain)]
+    rows += [rows[0], rows[3], (1, "quite another text"), (1, "Quite ANOTHER text"), (None, "quite another text"), (None, "no id"), (None, "no id"), (7, ""), (7, ""), (7, None), (None, " "), (None, " ")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                old, new = comp[a], comp[b]
+                comp = [new if c == old else c for c in comp]
+    docs = _docs(spark, rows)
+    groups = {}
+    for i, c in enumerate(comp):
+        if sets[i]:
+            groups.setdefault(c, []).append(i)
+    least = {c: min((rows[i][0] for i in own if rows[i][0] is not None), default=None) for c, own in groups.items()}
+    joined = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_jaccard.join(docs).collect())
+    assert joined == sorted((str(rows[i][0]), len(sets[i]), str(least[comp[i]] if sets[i] else rows[i][0])) for i in range(len(rows)))
+    runs = [sorted((str(r["doc_id"]), str(r["text"])) for r in ngram_jaccard.keep_one(d).collect()) for d in (docs, docs.repartition(7))]
+    assert runs[0] == runs[1]
+    bare = [("7", ""), ("7", "None"), ("None", " "), ("None", " ")]
+    own = [r for r in runs[0] if r[1].strip() and r[1] != "None"]
+    assert sorted(r for r in runs[0] if r not in own) == bare and len(own) == len(groups)
+    at = {(str(d), t): comp[i] for i, (d, t) in enumerate(rows)}
+    assert {at[r]: r[0] for r in own} == {c: str(v) for c, v in least.items()}
