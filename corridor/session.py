@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(name: str = "corridor", cores: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own settings."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
@@ -26,22 +29,32 @@ def local_session(name: str = "corridor", cores: int | None = None) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets one of its own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java.get() if java.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The write's shuffle files go as soon as it ends: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
