@@ -11,9 +11,15 @@ a date stays a date in its notation within the same 400 years, an e-mail address
 shape of its parts, an access key its prefix.
 
 ``pseudonymise`` is one pass without a shuffle; the permutations of a worker's recent values
-are cached. Defined results: a null text stays null with no find; an empty text stays empty;
-repeated rows change alike; other columns stay as they are (a clash with the added column
-names raises); an empty table gives an empty result.
+are cached. A value's notation does not count: an e-mail address is linked in any case, a phone
+number with any separators and with or without +1, a day in any order of its parts.
+``restore`` finds values again by themselves; one that only blanks part from further digits may
+be read with them as another kind on the way back.
+
+Defined results: a null text stays null with no find; an empty text stays empty; the time of a
+very long text grows with its length; repeated rows change alike; of overlapping values the kind
+named first in ``KINDS`` wins (e-mail before all); other columns stay as they are, but columns
+named ``n_pii`` and ``pii`` give way to the result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import datetime
 import hashlib
 import hmac
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,6 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ROUNDS = 8
+#: Characters of a value that are permuted together.
+BLOCK = 256
+#: Longer values are permuted anew each time, so that the kept ones stay small.
+CACHED = 256
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: letters and digits of access keys.
@@ -72,16 +83,23 @@ def permute(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> in
 
 
 def permute_shape(text: str, key: bytes, tweak: str, back: bool = False, alphabets: tuple[str, ...] = ALPHABETS) -> str:
-    """Permutes the characters of the alphabets together; all others, and each one's alphabet, stay."""
+    """Permutes the characters of the alphabets together; all others, and each one's alphabet, stay.
+
+    More than ``BLOCK`` characters are permuted in blocks, each keyed by the new block before it.
+    """
     where = [(i, a, a.index(c)) for i, c in enumerate(text) for a in alphabets if c in a]
-    x, size = 0, 1
-    for _, a, v in where:
-        x, size = x * len(a) + v, size * len(a)
-    x = permute(x, size, key, f"{tweak}/{len(text)}", back)
-    out = list(text)
-    for i, a, _ in reversed(where):
-        x, v = divmod(x, len(a))
-        out[i] = a[v]
+    out, before = list(text), ""
+    for begin in range(0, len(where), BLOCK):
+        block = where[begin : begin + BLOCK]
+        x, size = 0, 1
+        for _, a, v in block:
+            x, size = x * len(a) + v, size * len(a)
+        x = permute(x, size, key, f"{tweak}/{len(text)}{before}", back)
+        for i, a, _ in reversed(block):
+            x, v = divmod(x, len(a))
+            out[i] = a[v]
+        known = text if back else out  # the pseudonym's characters, either way
+        before = f"/{begin}/" + "".join(known[i] for i, _, _ in block)
     return "".join(out)
 
 
@@ -120,17 +138,33 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
 def _email(text: str, key: bytes, back: bool) -> str:
     user, _, host = text.rpartition("@")
     name, dot, top = host.rpartition(".")
-    # one permutation over both parts, so that an address is linked as a whole
-    return permute_shape(f"{user}@{name}", key, "email" + top.lower(), back) + dot + top
+    # one permutation over both parts, so that an address is linked as a whole; case stays where it is
+    whole = f"{user}@{name}"
+    new = permute_shape(_lower(whole), key, "email" + top.lower(), back, (DIGITS, LOWER))
+    return "".join(n.upper() if "A" <= c <= "Z" else n for c, n in zip(whole, new)) + dot + top
+
+
+def _lower(text: str) -> str:
+    return text.translate(_TO_LOWER)
+
+
+_TO_LOWER = str.maketrans(LOWER.upper(), LOWER)
+
+#: Two-digit country calling codes; 1 and 7 stand alone, all others have three digits.
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
     d = re.sub(r"\D", "", text)
     if not 8 <= len(d) <= 15:
         return None
-    lead = re.match(r"\+\d{1,3}(?=[ (.-])", text)
-    at = lead.end() if lead else 0
-    return text[:at] + permute_shape(text[at:], key, "phone" + text[:at], back, (DIGITS,))
+    # the country's code stays; a number of ten digits without one is read as North American
+    code = "" if "+" not in text else d[0] if d[0] in "17" else d[:2] if d[:2] in TWO_DIGIT_CODES else d[:3]
+    own = d[len(code) :]
+    new = permute(int(own), 10 ** len(own), key, f"phone/{code or '1'}/{len(own)}", back)
+    return _fill(text, code + str(new).zfill(len(own)))
 
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
@@ -153,30 +187,57 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
     return f"{a:03d}{text[3]}{b + 1:02d}{text[6]}{c + 1:04d}"
 
 
-#: Notations of dates: pattern, order of the parts.
-_DATES = ((re.compile(r"(\d{4})([-/.])(\d{2})\2(\d{2})"), "ymd"), (re.compile(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})"), "dmy"))
+#: Notations of dates: year first, or last.
+_YEAR_FIRST = re.compile(r"(\d{4})([-/.])(\d{2})\2(\d{2})")
+_YEAR_LAST = re.compile(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})")
+
+
+def _kind_of(day: datetime.date) -> tuple[int, bool]:
+    """Days of one kind are permuted among themselves: their day and month have as many digits, and their notation reads the same way."""
+    return (0 if day.day < 10 else 1 if day.day < 13 else 2), day.month < 10
+
+
+@lru_cache(maxsize=1)
+def _calendar() -> dict[tuple[int, bool], list[int]]:
+    """The days of 400 years from a year divisible by 400 on, by kind."""
+    start = datetime.date(400, 1, 1).toordinal()
+    out: dict[tuple[int, bool], list[int]] = {}
+    for i in range(_DAYS):
+        out.setdefault(_kind_of(datetime.date.fromordinal(start + i)), []).append(i)
+    return out
+
+
+def _new_day(day: datetime.date, key: bytes, back: bool) -> datetime.date:
+    kind, cycle = _kind_of(day), day.year // 400
+    days = _calendar()[kind]
+    first = datetime.date(400, 1, 1).toordinal() + (cycle - 1) * _DAYS
+    at = bisect_left(days, day.toordinal() - first)
+    while True:
+        at = permute(at, len(days), key, f"date/{cycle}/{kind}", back)
+        ordinal = first + days[at]
+        if ordinal >= 1:  # the year 0 is walked over
+            return datetime.date.fromordinal(ordinal)
 
 
 def _date(text: str, key: bytes, back: bool) -> str | None:
-    for pattern, order in _DATES:
-        m = pattern.fullmatch(text)
-        if not m:
-            continue
-        first, sep, second, third = m.groups()
-        for o in (order, "mdy") if order == "dmy" else (order,):
-            v = dict(zip(o, map(int, (first, second, third))))
-            try:
-                day = datetime.date(v["y"], v["m"], v["d"])
-            except ValueError:
-                continue
-            start = datetime.date(max(1, day.year // 400 * 400), 1, 1).toordinal()
-            size = _DAYS - 366 if day.year < 400 else _DAYS
-            new = datetime.date.fromordinal(start + permute(day.toordinal() - start, size, key, f"date/{start}", back))
-            part = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-            if o != "ymd" and not back and o == "dmy" and v["m"] > 12:
-                continue
-            return sep.join(part[c] for c in o)
-    return None
+    """Equal days are linked in all notations. Of day and month first, a number above 12 tells the day, else the first is."""
+    if m := _YEAR_FIRST.fullmatch(text):
+        year, sep, month, day = m.groups()
+        names = "ymd"
+    elif m := _YEAR_LAST.fullmatch(text):
+        day, sep, month, year = m.groups()
+        names = "dmy"
+        if int(month) > 12:
+            day, month, names = month, day, "mdy"
+    else:
+        return None
+    try:
+        new = _new_day(datetime.date(int(year), int(month), int(day)), key, back)
+    except ValueError:
+        return None
+    widths = {"y": 4, "m": len(month), "d": len(day)}
+    values = {"y": new.year, "m": new.month, "d": new.day}
+    return sep.join(str(values[c]).zfill(widths[c]) for c in names)
 
 
 def _key(text: str, key: bytes, back: bool) -> str:
@@ -191,9 +252,27 @@ def _secret(text: str, key: bytes, back: bool) -> str:
 
 
 Find = Callable[[str, bytes, bool], "str | None"]
-#: Kind, pattern (its group ``v``, else the whole match, is the value) and permutation, in order of precedence.
+#: An address's part behind its "@", and the characters of the part before.
+_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_USER = re.compile(r"[\w.+%-]")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of addresses. Each is looked for from its "@" on, so that a long run without one is never scanned again."""
+    at, done = text.find("@"), 0
+    while at >= 0:
+        begin = at
+        host = _HOST.match(text, at + 1)
+        while host and begin > done and _USER.match(text, begin - 1):
+            begin -= 1
+        if host and begin < at:
+            yield begin, host.end()
+            done = host.end()
+        at = text.find("@", max(at + 1, done))
+
+
+#: Kind, pattern (its group ``v``, else the whole match, is the value) and permutation, in order of precedence behind e-mail.
 KINDS: tuple[tuple[str, str, Find], ...] = (
-    ("email", r"[\w.+%-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<v>[A-Za-z0-9+/_.-]{8,})", _secret),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])", _key),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<v>[A-Z0-9]{16})(?![A-Za-z0-9])", _secret),
@@ -208,9 +287,32 @@ _PATTERNS = tuple((kind, re.compile(p), f) for kind, p, f in KINDS)
 _MAY = re.compile(r"[0-9@]|(?i:password|passwd|secret|token|api[_-]?key)")
 
 
+def _finds(text: str, at: int, key: bytes, back: bool) -> str | None:
+    return _email(text, key, back) if at < 0 else _PATTERNS[at][2](text, key, back)
+
+
+def _is_earlier(text: str, at: int) -> bool:
+    """Whether a kind of higher precedence takes the value, or a part of it."""
+    if at >= 0 and next(_emails(text), None):
+        return True
+    for kind, pattern, find in _PATTERNS[: max(at, 0)]:
+        m = pattern.search(text)
+        while m:
+            start, end = m.span("v") if "v" in pattern.groupindex else m.span()
+            if find(text[start:end], b"", False) is not None:
+                return True
+            m = pattern.search(text, m.start() + 1)
+    return False
+
+
 @lru_cache(maxsize=100_000)
 def _replaced(at: int, text: str, key: bytes, back: bool) -> str | None:
-    return _PATTERNS[at][2](text, key, back)
+    new = _finds(text, at, key, back)
+    if new is None or _is_earlier(text, at):
+        return new
+    while _is_earlier(new, at):  # walk on, so that the way back reads the value as the same kind
+        new = _finds(new, at, key, back)
+    return new
 
 
 def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -218,17 +320,24 @@ def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     if not _MAY.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
+
+    def take(at: int, kind: str, start: int, end: int) -> bool:
+        place = bisect_left(found, (start,))
+        if place < len(found) and found[place][0] < end or place and found[place - 1][1] > start:
+            return False  # a kind of higher precedence holds it
+        new = _replaced(at, text[start:end], key, back) if end - start <= CACHED else _replaced.__wrapped__(at, text[start:end], key, back)
+        if new is not None:
+            insort(found, (start, end, kind, new))
+        return new is not None
+
+    for start, end in _emails(text):
+        take(-1, "email", start, end)
     for at, (kind, pattern, _) in enumerate(_PATTERNS):
         m = pattern.search(text)
         while m:
             start, end = m.span("v") if "v" in pattern.groupindex else m.span()
-            free = not any(start < b and a < end for a, b, _, _ in found)
-            new = _replaced(at, text[start:end], key, back) if free else None
-            if new is not None:
-                found.append((start, end, kind, new))
             # what fails may hide a value that begins later within it
-            m = pattern.search(text, m.end() if new is not None else m.start() + 1)
-    found.sort()
+            m = pattern.search(text, m.end() if take(at, kind, start, end) else m.start() + 1)
     out, done = [], 0
     for start, end, _, new in found:
         out += (text[done:start], new)
@@ -236,28 +345,28 @@ def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     return "".join((*out, text[done:])), [(kind, a, b) for a, b, kind, _ in found]
 
 
-def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
-    """``docs`` with the new ``text``, ``n_pii`` and ``pii`` (kind, start and end in the old text)."""
-    clash = {"n_pii", "pii"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+def pseudonymise(docs: DataFrame, key: bytes, finds: bool = True) -> DataFrame:
+    """``docs`` with the new ``text`` and, with ``finds``, ``n_pii`` and ``pii`` (kind, start and end in the old text)."""
+    if finds:
+        docs = docs.drop("n_pii", "pii")
     at = docs.columns.index("text")
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, finds = [], []
-            for t in batch.column(at):
-                text, found = rewrite(t.as_py(), key) if t.is_valid else (None, [])
-                texts.append(text)
-                finds.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            counts = pa.array([len(f) for f in finds], pa.int32())
-            yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(finds, spans)], [*batch.schema.names, "n_pii", "pii"])
-
-    span = T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
-    kind = T.StructType(list(docs.schema.fields)).add("n_pii", T.IntegerType()).add("pii", T.ArrayType(span))
+            done = [rewrite(t.as_py(), key) if t.is_valid else (None, []) for t in batch.column(at)]
+            columns, names = list(batch.columns), list(batch.schema.names)
+            columns[at] = pa.array([text for text, _ in done], pa.string())
+            if finds:
+                columns.append(pa.array([len(f) for _, f in done], pa.int32()))
+                columns.append(pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for _, f in done], spans))
+                names += ["n_pii", "pii"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kind = T.StructType(list(docs.schema.fields))
+    if finds:
+        span = T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
+        kind = kind.add("n_pii", T.IntegerType()).add("pii", T.ArrayType(span))
     return docs.mapInArrow(run, kind)
 
 

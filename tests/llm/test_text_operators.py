@@ -103,8 +103,10 @@ def test_pii(spark):
     assert sorted(pii.permute(x, 97, key, "t") for x in range(97)) == list(range(97))
     rows = pii.pseudonymise(_docs(spark, [(1, None), (2, ""), (3, text), (4, text)]), key).orderBy("doc_id").collect()
     assert rows[0]["text"] is None and rows[1]["text"] == "" and rows[2]["text"] == rows[3]["text"] == new
-    with pytest.raises(ValueError):
-        pii.pseudonymise(_docs(spark, []).withColumnRenamed("n", "n_pii"), key)
+    clash = pii.pseudonymise(_docs(spark, [(3, text)]).withColumnRenamed("n", "n_pii"), key)
+    assert clash.columns == ["doc_id", "text", "ids", "n_pii", "pii"] and clash.first()["n_pii"] == 9
+    assert pii.pseudonymise(_docs(spark, [(3, text)]).withColumnRenamed("n", "n_pii"), key, finds=False).first()["n_pii"] == 1
+    assert pii.pseudonymise(_docs(spark, []), key).count() == 0
 
 
 def test_toxicity(spark):
