@@ -9,8 +9,9 @@ the driver. Prediction is one pass without a shuffle.
 
 Defined results: null text or text without a letter is ``und`` with score 0; ties of
 frequency break by n-gram code, ties of distance by language name; repeated rows are
-predicted alike; where no training text exists every document is ``und``; columns
-besides those named are ignored.
+predicted alike; very long texts are counted whole; where no training text exists every
+document is ``und``; an empty table gives an empty result; columns besides those named are
+ignored. Every value of ``lang`` in the training rows is a language, with ``top`` rows of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 TOP = 300
+#: Folded codes counted at once in training.
+PIECE = 4_000_000
 #: Bits per character code in an n-gram: three characters fit a 64-bit integer.
 BITS = 21
 _FOLD: dict[int, np.ndarray] = {}
@@ -102,8 +105,36 @@ def _head(keys: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return some[np.lexsort((keys[some], -counts[some]))]
 
 
+def pieces(texts: list[str]) -> Iterator[np.ndarray]:
+    """Folded codes of whole texts, one behind the other, in arrays of about ``PIECE`` codes or of one text.
+
+    Each text is framed by blanks, so that two blanks in a row are found between texts alone.
+    """
+    held: list[np.ndarray] = []
+    size = 0
+    for text in texts:
+        codes = fold(text)
+        if held and size + len(codes) > PIECE:
+            yield np.concatenate(held)
+            held, size = [], 0
+        held.append(codes)
+        size += len(codes)
+    if held:
+        yield np.concatenate(held)
+
+
+def _between(keys: np.ndarray) -> np.ndarray:
+    """Where an n-gram holds two blanks in a row: it lies between two texts and belongs to neither."""
+    low = (1 << BITS) - 1
+    last, middle, first = keys & low, (keys >> BITS) & low, keys >> (2 * BITS)
+    return ((last == 32) & (middle == 32)) | ((middle == 32) & (first == 32))
+
+
 def train(docs: DataFrame, top: int = TOP) -> dict[str, list[int]]:
-    """Language -> its ranked n-grams, over every row of ``docs`` with text and lang."""
+    """Language -> its ranked n-grams, over every row of ``docs`` with text and lang.
+
+    Each text is counted on its own: how rows fall into batches changes nothing.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,14 +142,16 @@ def train(docs: DataFrame, top: int = TOP) -> dict[str, list[int]]:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                codes = fold(" ".join(texts))
-                if len(codes) < 2:
-                    continue
-                keys, counts = ngrams(codes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys)), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())],
-                    ["lang", "gram", "n"],
-                )
+                for codes in pieces(texts):
+                    if len(codes) < 2:
+                        continue
+                    keys, counts = ngrams(codes)
+                    own = ~_between(keys)
+                    keys, counts = keys[own], counts[own]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(keys)), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())],
+                        ["lang", "gram", "n"],
+                    )
 
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
