@@ -10,8 +10,9 @@ the expected grade and, for each grade above the lowest, the probability of it o
 
 Defined results: null and empty texts are scored by the features of an empty text; without
 rated rows, or with one grade alone, that grade (or 0) is expected of every text; null grades
-are not learned from; repeated rows are scored alike; other columns stay as they are; an
-empty table gives an empty result.
+are not learned from; repeated rows are scored alike; very long texts are measured whole; other
+columns stay as they are, but columns named ``expected_grade`` and ``tails`` give way to the
+result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -170,6 +171,7 @@ def train(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS) -> Ordina
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     """``docs`` with ``expected_grade`` and ``tails`` (probability of at least each higher grade)."""
+    docs = docs.drop("expected_grade", "tails")
     at = docs.columns.index("text")
     kind = T.StructType(list(docs.schema.fields)).add("expected_grade", T.DoubleType()).add("tails", T.ArrayType(T.DoubleType()))
     steps = np.diff(model.grades)

@@ -16,7 +16,8 @@ measured by terms that were learned from the other half of the rows. Scoring is
 
 Defined results: null and empty texts have the score of a text without hits; where no
 labelled row exists every score is 0; repeated rows are scored alike; null labels are not
-learned from; other columns are ignored; an empty table gives an empty result.
+learned from; very long texts are matched whole; other columns stay, but columns named
+``score`` and ``predicted`` give way to the result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -34,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corridor.session import materialise
 
@@ -81,6 +85,23 @@ def fold(text: str) -> str:
     return " " + " ".join(_WORD.findall(low)) + " "
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as spans that do not overlap, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _within(place: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether one of the merged spans holds ``place``."""
+    at = bisect_right(spans, place, key=itemgetter(0)) - 1
+    return at >= 0 and place < spans[at][1]
+
+
 def terms_of(folded: str) -> set[str]:
     """Candidate terms of a folded text: beginnings of its words, and whole words with a blank behind."""
     out: set[str] = set()
@@ -139,7 +160,8 @@ class Lexicon:
                 spared.append((start, stop))
             else:
                 best[start] = max(weight, best.get(start, 0.0))
-        total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+        spared = _merged(spared)
+        total = sum(w for s, w in best.items() if not _within(s, spared))
         if total == 0.0:
             return 0.0, 0.0
         words = folded.count(" ") - 1
@@ -199,7 +221,7 @@ def fit_score(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
     """A lexicon from ``labels`` (``doc_id, toxic``) and the texts of ``docs``."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = F.broadcast(_bounded(known, rows))  # two numbers a row, at most about `rows` of them
     joined = docs.where("text IS NOT NULL").select("doc_id", "text").join(picked, "doc_id").select("toxic", "text")
 
@@ -258,7 +280,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``, from their texts alone."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs = docs.drop("score", "predicted")
+    kind = T.StructType(list(docs.schema.fields)).add("score", T.DoubleType()).add("predicted", T.IntegerType())
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,4 +290,15 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             columns = [*batch.columns, pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(run, kind)
+
+
+def filter_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The documents below the threshold, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(t.as_py()) < THRESHOLD for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
