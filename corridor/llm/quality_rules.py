@@ -7,7 +7,8 @@ of a policy rejects and what it alone rejects. Changing a policy never rereads t
 
 Defined results: a null or empty text has no word and fails ``few_words``; repeated
 rows are judged alike, each on its own; columns other than ``doc_id`` and ``text``
-are ignored, so clashing names do no harm; an empty table gives an empty ledger.
+are ignored, so clashing names do no harm; very long texts are measured whole; an empty
+table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -187,10 +188,17 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
         CAST(length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS BIGINT) AS n_upper,
         CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN cov USING (rid)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (10 * n_symbols > n_words) AND NOT (2 * n_dup_lines > n_lines)
-  AND NOT (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words))
-  AND NOT (2 * n_upper > word_chars) AS kept
-FROM b
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+        + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+        + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 16 ELSE 0 END
+        + CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END AS INTEGER) AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bits = 0 AS kept, bits FROM b
 """
+#: What each rule of the current policy rejects, and rejects alone.
+ABLATION_SQL = (
+    SQL.replace("WITH d AS", "WITH ledger AS (WITH d AS", 1).rstrip()
+    + """), rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('dup_lines', 8), ('word_length', 16), ('shouting', 32)) AS r (rule, bit))
+SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_only FROM rules LEFT JOIN ledger ON true GROUP BY rule
+"""
+)

@@ -20,17 +20,24 @@ from corridor.llm import (
     quality_rules,
     toxicity,
 )
-from corridor.session import table
+from corridor.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
-#: The queries' key for pseudonyms; a user passes one of their own.
+#: The setting that holds the secret key of pseudonyms, and the key where it is unset: a public one, for tests.
+KEY_SETTING = "spark.corridor.pseudonymKey"
 PSEUDONYM_KEY = b"corridor demonstration key"
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The session's key for pseudonyms."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else PSEUDONYM_KEY
+
+
 def _crc_mod(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
@@ -70,13 +77,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ledger of all documents under the current policy."""
     judged = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits"
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and rejects alone, from the stored ledger of all documents."""
+    return quality_rules.ablation(materialise(quality_rules.ledger(table(spark, sf_dir, "documents")), "quality-ledger"))
+
+
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data permuted within its format."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY).select("doc_id", "text", "n_pii")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark)).select("doc_id", "text", "n_pii")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
+        "quality_ablation": quality_ablation,
         "op6_packing": op6_packing,
         "op7_pii_pseudonyms": op7_pii_pseudonyms,
         "op8_byte_bpe": op8_byte_bpe,
@@ -120,4 +133,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.SQL}
+    return {"op5_quality_rules": quality_rules.SQL, "quality_ablation": quality_rules.ABLATION_SQL}
