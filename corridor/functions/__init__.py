@@ -1,0 +1 @@
+"""Scalar column functions: built-in expressions alone, no Python workers."""

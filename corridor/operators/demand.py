@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corridor.operators.ranges import numbered
+
 #: Purposes of the morning, the afternoon and of chains.
 AM = ("HBW_AM", "HBSchool_AM", "HBW_AM_chained")
 PM = ("HBW_PM", "HBSchool_PM", "HBW_PM_chained")
-CHAINED = ("HBW_AM_chained", "HBW_PM_chained")
+CHAINED = ("HBSchool_AM", "HBW_AM_chained", "HBW_PM_chained", "HBSchool_PM")
 #: Modes a trip may name.
 KNOWN_MODES = ("car", "transit", "bike", "walk")
 
@@ -20,9 +21,17 @@ def missing(c: str) -> Column:
 
 
 def composition(trips: DataFrame) -> DataFrame:
-    """Trips with a purpose: all, of the morning, of the afternoon, in chains."""
-    n = lambda names: F.count(F.when(F.col("purpose").isin(*names), 1))
-    return trips.where(~missing("purpose")).agg(F.count("*").alias("total"), n(AM).alias("am"), n(PM).alias("pm"), n(CHAINED).alias("chains"))
+    """Trips with a purpose: all, of the morning, of the afternoon, legs of chains, and chains by their school leg."""
+    n = lambda *names: F.count(F.when(F.col("purpose").isin(*names), 1))
+    return trips.where(~missing("purpose")).agg(
+        F.count("*").alias("total"), n(*AM).alias("am"), n(*PM).alias("pm"), n(*CHAINED).alias("chain_legs"),
+        n("HBSchool_AM").alias("school_chains_am"), n("HBSchool_PM").alias("school_chains_pm"),
+    )
+
+
+def by_purpose(trips: DataFrame) -> DataFrame:
+    """Trips by purpose, with a row of all (null purpose)."""
+    return trips.where(~missing("purpose")).rollup("purpose").agg(F.count("*").alias("trips"))
 
 
 def od_matrix(pairs: DataFrame) -> DataFrame:
@@ -54,30 +63,49 @@ def classify(trips: DataFrame, nodes: DataFrame, component: DataFrame, modes: tu
     return rows.select(*trips.columns, reason.alias("reason"))
 
 
-def dense_ids(trips: DataFrame, hours: int = 1) -> DataFrame:
-    """``trips`` with ``dense_id``: t0, t1, ... by departure, origin, destination and id.
+def dense_ids(trips: DataFrame) -> DataFrame:
+    """``trips`` with ``dense_id``: t0, t1, ... by departure, origin, destination and id. Ranges are seconds of departure."""
+    order = ["departure_time_s", "origin", "destination", "trip_id"]
+    ranked = numbered(trips, order, F.col("departure_time_s"), "_id")
+    return ranked.select(*trips.columns, F.concat(F.lit("t"), F.col("_id")).alias("dense_id"))
+
+
+def repeated_ids(trips: DataFrame) -> DataFrame:
+    """Trips without an id, and each repeat of an id after its first row (by ``pos``)."""
+    blank = trips.where(missing("trip_id")).select("pos", F.lit("empty_id").alias("rule"))
+    # counts first: only ids that repeat are ordered
+    often = trips.where(~missing("trip_id")).groupBy("trip_id").agg(F.count("*").alias("k"), F.min("pos").alias("first")).where("k > 1")
+    again = trips.join(often, "trip_id").where("pos > first").select("pos", F.lit("duplicate_id").alias("rule"))
+    return blank.union(again)
+
 
-    Rows are ranked within an hour and shifted by the counts of the hours before: no task
-    sorts the whole table.
-    """
-    hour = F.floor(F.col("departure_time_s") / (3600 * hours))
-    rows = trips.withColumn("_hour", hour)
-    before = W.orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
-    shift = rows.groupBy("_hour").agg(F.count("*").alias("_n")).select("_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = W.partitionBy("_hour").orderBy("departure_time_s", "origin", "destination", "trip_id")
-    ranked = rows.withColumn("_rank", F.row_number().over(own) - 1).join(shift, "_hour")
-    return ranked.select(*trips.columns, F.concat(F.lit("t"), (F.col("_rank") + F.col("_shift")).cast("long")).alias("dense_id"))
+def self_loops(trips: DataFrame) -> DataFrame:
+    return trips.where("origin = destination").select("pos", F.lit("self_loop").alias("rule"))
 
 
-def validate(trips: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Violations by rule: repeated ids, trips to their origin, departures outside the day, unknown nodes."""
-    repeated = trips.groupBy("trip_id").count().where("count > 1").select(F.lit("duplicate_id").alias("rule"), (F.col("count") - 1).alias("n"))
-    one = lambda rule, cond: trips.where(cond).select(F.lit(rule).alias("rule"), F.lit(1).cast("long").alias("n"))
-    orphans = [
-        trips.where(~missing(side)).join(nodes.select(F.col("node").alias(side)), side, "left_anti").select(F.lit(f"orphan_{side}").alias("rule"), F.lit(1).cast("long").alias("n"))
+def bad_departures(trips: DataFrame) -> DataFrame:
+    """Departures (text) that are no whole number, or a negative one."""
+    text = F.trim(F.coalesce(F.col("departure"), F.lit("")))
+    whole = text.rlike(r"^[+-]?\d+$")
+    rule = F.when(~whole, "departure_not_integer").when(text.startswith("-") & ~text.rlike(r"^-0+$"), "departure_negative")
+    return trips.select("pos", rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def orphans(trips: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ends of trips that no node has."""
+    found = [
+        trips.where(~missing(side)).join(nodes.select(F.col("node").alias(side)), side, "left_anti").select("pos", F.lit(f"orphan_{side}").alias("rule"))
         for side in ("origin", "destination")
     ]
-    rows = repeated.union(one("self_loop", F.col("origin") == F.col("destination"))).union(one("departure", ~F.col("departure_time_s").between(21_600, 79_200)))
-    for o in orphans:
-        rows = rows.union(o)
-    return rows.groupBy("rule").agg(F.sum("n").cast("long").alias("violations"))
+    return found[0].union(found[1])
+
+
+def empty_table(trips: DataFrame) -> DataFrame:
+    """One row where there is no trip at all."""
+    return trips.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(0).cast("long").alias("pos"), F.lit("empty").alias("rule"))
+
+
+def violations(trips: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pos, rule`` of every violation."""
+    rows = repeated_ids(trips).union(self_loops(trips)).union(bad_departures(trips))
+    return rows.union(orphans(trips, nodes)).union(empty_table(trips))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corridor.operators.ranges import running_sums
+
 
 def geh(a: Column, b: Column) -> Column:
     """The GEH statistic; infinite where a count is not positive."""
@@ -36,14 +37,7 @@ def ks(values: DataFrame, engine: str, value: str, first: str, second: str) -> D
     a, b = (F.sum((F.col(engine) == e).cast("long")) for e in (first, second))
     by = values.groupBy(F.col(value).alias("x")).agg(a.alias("a"), b.alias("b")).where("a + b > 0")
     totals = by.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))  # one row
-    # running sums by ranges of values: within a range, shifted by the ranges before
-    width = 10_000
-    ranged = by.withColumn("range", F.floor(F.col("x") / width))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    shifts = ranged.groupBy("range").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"))
-    shifts = shifts.select("range", F.coalesce(F.sum("ra").over(before), F.lit(0)).alias("sa"), F.coalesce(F.sum("rb").over(before), F.lit(0)).alias("sb"))
-    own = W.partitionBy("range").orderBy("x")
-    run = ranged.withColumns({"ca": F.sum("a").over(own), "cb": F.sum("b").over(own)}).join(shifts, "range").crossJoin(F.broadcast(totals))
-    gap = F.abs((F.col("ca") + F.col("sa")) / F.col("n") - (F.col("cb") + F.col("sb")) / F.col("m"))
+    run = running_sums(by, [], "x", ["a", "b"]).crossJoin(F.broadcast(totals))
+    gap = F.abs(F.col("a_upto") / F.col("n") - F.col("b_upto") / F.col("m"))
     out = run.agg(F.max(gap).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"))
     return out.withColumn("critical", 1.36 * F.sqrt((F.col("n") + F.col("m")) / (F.col("n") * F.col("m"))))

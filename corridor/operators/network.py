@@ -15,6 +15,27 @@ def degree(links: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
+def link_index(links: DataFrame) -> DataFrame:
+    """The first link (by ``link_pos``) of each node in five ways: into it, out of it to a node that goes on, touching it, out of it, and into it again.
+
+    ``goes_on`` tells whether a link leaves the node.
+    """
+    first = lambda cond=None: F.min(F.when(cond, F.struct("link_pos", "link_id")) if cond is not None else F.struct("link_pos", "link_id"))
+    sources = links.select(F.col("from_node").alias("to_node")).distinct().withColumn("_on", F.lit(True))
+    rows = links.join(sources, "to_node", "left")
+    ends = rows.select(F.col("from_node").alias("node"), F.lit("out").alias("end"), "link_pos", "link_id", "_on").union(rows.select(F.col("to_node").alias("node"), F.lit("in").alias("end"), "link_pos", "link_id", "_on"))
+    out, into = F.col("end") == "out", F.col("end") == "in"
+    by = ends.groupBy("node").agg(
+        first(into).alias("into"), first(out & F.col("_on")).alias("onward"), first().alias("touching"), first(out).alias("out"), F.bool_or(out).alias("goes_on")
+    )
+    return by.select("node", "goes_on", *(F.col(f"{c}.link_id").alias(c) for c in ("into", "onward", "touching", "out")))
+
+
+def first_of_all(links: DataFrame) -> DataFrame:
+    """The first link of the table, one row: where a node has none."""
+    return links.agg(F.min(F.struct("link_pos", "link_id"))["link_id"].alias("fallback"))
+
+
 def first_links(links: DataFrame) -> DataFrame:
     """The first outgoing link of each node, by position."""
     return links.groupBy(F.col("from_node").alias("node")).agg(F.min_by("link_id", "link_pos").alias("first_link"))
@@ -29,10 +50,12 @@ def forbidden_moves(restrictions: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def length_histogram(links: DataFrame) -> DataFrame:
-    """Links by length class."""
-    x = F.col("length")
-    name = F.when(x <= 0, "0").when(x < 1, "<1").when(x < 10, "<10").when(x < 100, "<100").otherwise(">=100")
-    return links.groupBy(name.alias("bucket")).agg(F.count("*").alias("links"))
+    """Links by length class with their share of all; class 0 is for lengths of 0 and unreadable ones alone."""
+    x = F.coalesce(F.col("length"), F.lit(0.0))
+    name = F.when(x == 0, "0").when(x < 0.1, "<0.1").when(x < 1, "<1").when(x < 10, "<10").when(x < 100, "<100").otherwise(">=100")
+    by = links.groupBy(name.alias("bucket")).agg(F.count("*").alias("links"))
+    total = by.agg(F.sum("links").alias("all_links"))  # one row
+    return by.crossJoin(F.broadcast(total)).select("bucket", "links", (F.col("links") * 100.0 / F.col("all_links")).alias("percent"))
 
 
 def hops(links: DataFrame, sources: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corridor.operators.ranges import value_at
+
 #: Two-sided 95 % critical values of Student's t for 1 to 30 degrees of freedom; beyond, the normal's.
 T_CRITICAL = (
     12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
@@ -88,15 +89,17 @@ def reproducibility_index(values: DataFrame, keys: list[str], value: str) -> Dat
 def floor_percentile(values: DataFrame, keys: list[str], value: str, percent: int = 95, of_n: bool = False, weight: str | None = None) -> DataFrame:
     """Per group: total weight ``n`` and the value at index ``floor(percent/100 * (n-1))`` of the sorted values.
 
-    ``of_n`` takes ``floor(percent/100 * n)``, clamped. Values are counted first, so a group's
-    window holds its distinct values only.
+    ``of_n`` takes ``floor(percent/100 * n)``, clamped. Values are counted first, and only the
+    range that holds the index is sorted.
     """
     w = F.col(weight) if weight else F.lit(1)
-    counts = values.groupBy(*keys, F.col(value).alias("x")).agg(F.sum(w).cast("long").alias("w")).where("w > 0")
-    own = W.partitionBy(*keys)
-    run = counts.withColumns({"upto": F.sum("w").over(own.orderBy("x")), "n": F.sum("w").over(own)})
+    keys = keys or ["_all"]
+    rows = values.withColumn("_all", F.lit(0)) if keys == ["_all"] else values
+    counts = rows.groupBy(*keys, F.col(value).alias("x")).agg(F.sum(w).cast("long").alias("w")).where("w > 0")
+    totals = counts.groupBy(*keys).agg(F.sum("w").alias("n"))
     index = F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1) if of_n else F.floor((F.col("n") - 1) * percent / 100)
-    return run.where((F.col("upto") > index) & (F.col("upto") - F.col("w") <= index)).select(*keys, "n", F.col("x").alias("p"))
+    held = value_at(counts.join(totals, keys).withColumn("at", index), keys, "x", "w", "at")
+    return held.select(*keys, "n", F.col("x").alias("p")).drop("_all")
 
 
 def summary_by_engine(cells: DataFrame) -> DataFrame:
@@ -111,13 +114,14 @@ def summary_by_engine(cells: DataFrame) -> DataFrame:
 
 
 def mode_comparison(runs: DataFrame) -> DataFrame:
-    """Micro against meso by (scenario, engine), where both exist."""
+    """Micro against meso by (scenario, engine), where both exist: means, speedup and differences in percent of meso."""
     ok = runs.where("status = 'success'").groupBy("scenario", "engine").pivot("mode", ["meso", "micro"])
-    wide = ok.agg(F.avg("runtime_s").alias("runtime"), F.avg("tt_mean").alias("tt")).where("meso_runtime IS NOT NULL AND micro_runtime IS NOT NULL")
+    wide = ok.agg(F.avg("runtime_s").alias("runtime"), F.avg("tt_mean").alias("tt"), F.avg("tt_p95").alias("p95")).where("meso_runtime IS NOT NULL AND micro_runtime IS NOT NULL")
+    percent = lambda x: F.try_divide(F.col(f"micro_{x}") - F.col(f"meso_{x}"), F.col(f"meso_{x}")) * 100
     return wide.select(
-        "scenario", "engine", "meso_runtime", "micro_runtime", "meso_tt", "micro_tt",
+        "scenario", "engine", "meso_runtime", "micro_runtime", "meso_tt", "micro_tt", "meso_p95", "micro_p95",
         F.try_divide("micro_runtime", "meso_runtime").alias("speedup"),
-        (F.try_divide(F.col("micro_tt") - F.col("meso_tt"), F.col("meso_tt")) * 100).alias("tt_diff_pct"),
+        percent("runtime").alias("runtime_diff_pct"), percent("tt").alias("tt_diff_pct"), percent("p95").alias("p95_diff_pct"),
     )
 
 
@@ -128,16 +132,40 @@ def speedup(runs: DataFrame, baseline: str) -> DataFrame:
     return means.where(F.col("engine") != baseline).join(base, ["scenario", "mode"]).select("scenario", "mode", "engine", F.try_divide("base", "runtime").alias("speedup"))
 
 
-def scalability(runs: DataFrame) -> DataFrame:
-    """Trips a second and mean runtime by cell; 0 where the runtime is."""
+def scalability(runs: DataFrame, simulated_s: float, cores: int, watts: float) -> DataFrame:
+    """Throughput of each cell's mean run: trips a second (also by core and watt) and simulated against real time; 0 without a runtime."""
     good = runs.where("status = 'success' AND runtime_s > 0 AND trip_count > 0")
     means = good.groupBy("scenario", "engine", "mode").agg(F.avg("runtime_s").alias("runtime"), F.avg("trip_count").alias("trips"))
-    return means.withColumn("trips_per_s", F.when(F.col("runtime") > 0, F.col("trips") / F.col("runtime")).otherwise(0.0))
+    rate = lambda x: F.when(F.col("runtime") > 0, x / F.col("runtime")).otherwise(0.0)
+    return means.withColumns(
+        {
+            "trips_per_s": rate(F.col("trips")),
+            "simulated_per_real": rate(F.lit(simulated_s)),
+            "trips_per_s_core": rate(F.col("trips")) / cores,
+            "trips_per_s_watt": rate(F.col("trips")) / watts,
+        }
+    )
+
+
+def weighted_trips(agents: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of rows (``tt, distance, volume``) that stand for ``volume`` trips each, rounded half to even.
+
+    ``trip_count`` counts all trips, ``completed`` those with a time above 0, which alone enter the
+    means and the percentile; non-finite values are left out; without a completed trip all are 0.
+    """
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = agents.where(finite("tt") & finite("distance") & finite("volume") & (F.col("volume") > 0)).withColumn("n", F.bround("volume", 0).cast("long")).where("n > 0")
+    done = F.when(F.col("tt") > 0, F.col("n"))
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * done), F.sum(done)), F.lit(0.0))
+    base = rows.groupBy(*keys).agg(
+        F.sum("n").alias("trip_count"), F.coalesce(F.sum(done), F.lit(0)).alias("completed"), mean("tt").alias("mean_tt"), mean("distance").alias("mean_distance")
+    )
+    p95 = floor_percentile(rows.where("tt > 0"), keys, "tt", weight="n").select(*keys, F.col("p").alias("p95_tt"))
+    return base.join(p95, keys, "left").withColumn("p95_tt", F.coalesce("p95_tt", F.lit(0.0)))
 
 
 def coverage_gap(runs: DataFrame) -> DataFrame:
-    """Cells (engine, mode) that a scenario lacks among those any scenario has successfully."""
-    done = runs.where("status = 'success' AND tt_mean > 0")
-    cells, scenarios = done.select("engine", "mode", "seed").distinct(), runs.select("scenario").distinct()
+    """Cells (engine, mode) that a scenario lacks among those that any scenario has, failed ones too."""
+    cells, scenarios = runs.select("engine", "mode").distinct(), runs.select("scenario").distinct()
     # names of cells and scenarios: a report's axes, not rows
-    return scenarios.crossJoin(cells).join(done.select("scenario", "engine", "mode", "seed").distinct(), ["scenario", "engine", "mode", "seed"], "left_anti")
+    return scenarios.crossJoin(cells).join(runs.select("scenario", "engine", "mode").distinct(), ["scenario", "engine", "mode"], "left_anti")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corridor.operators.ranges import with_next
 from corridor.session import table
 
 #: Vocabularies of modes and purposes.
@@ -30,9 +30,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trip_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``engine, trip_id, tt``: a trip's travel time in each engine, rounded to whole units."""
+    """``engine, trip_id, tt``: a trip's greatest travel time in each engine, cut to whole units."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("engine"), F.col("l_orderkey").alias("trip_id"))
-    return rows.agg(F.floor(F.avg("l_extendedprice")).cast("long").alias("tt"))
+    return rows.agg(F.floor(F.max("l_extendedprice")).cast("long").alias("tt"))
 
 
 def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,16 +43,15 @@ def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demand: view events, from a user's node to the next one's."""
-    events = table(spark, sf_dir, "events").where("event_type = 'view'")
-    # the next event in time, within the hour of the day, so that many tasks share the ordering
-    order = W.partitionBy(F.hour("ts")).orderBy("ts", "event_id")
+    views = table(spark, sf_dir, "events").where("event_type = 'view'")
+    events = with_next(views, "user_id", ["ts", "event_id"], F.date_trunc("minute", "ts"), "next_user")
     k = F.get_json_object("props", "$.k").cast("long")
     seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
     return events.select(
         F.concat(F.lit("t"), "event_id").alias("trip_id"),
         F.concat(F.lit("n"), "user_id").alias("origin"),
-        F.concat(F.lit("n"), F.lead("user_id").over(order)).alias("destination"),
+        F.concat(F.lit("n"), "next_user").alias("destination"),
         seconds.cast("long").alias("departure_time_s"),
         pick(MODES, k % 4).alias("mode"),
         pick(PURPOSES, k % 6).alias("purpose"),
@@ -62,12 +61,11 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Network: purchases in order, from a user's node to the next purchaser's."""
     bought = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    order = W.partitionBy(F.dayofmonth("ts")).orderBy("ts", "event_id")
-    rows = bought.select(
+    rows = with_next(bought, "user_id", ["ts", "event_id"], F.date_trunc("minute", "ts"), "next_user").select(
         F.concat(F.lit("l"), "event_id").alias("link_id"),
         F.col("event_id").alias("link_pos"),
         F.concat(F.lit("n"), "user_id").alias("from_node"),
-        F.concat(F.lit("n"), F.lead("user_id").over(order)).alias("to_node"),
+        F.concat(F.lit("n"), "next_user").alias("to_node"),
         F.col("value").cast("double").alias("length"),
     )
     return rows.where("to_node IS NOT NULL AND from_node <> to_node")
@@ -101,15 +99,15 @@ SQL = {
       CAST(l_linenumber AS BIGINT) AS seed, CASE WHEN l_tax > 0.07::DOUBLE THEN 'failed' ELSE 'success' END AS status, CAST(l_quantity AS DOUBLE) AS runtime_s,
       CASE WHEN l_discount = 0 THEN 0.0::DOUBLE ELSE l_extendedprice END AS tt_mean, CASE WHEN l_discount = 0 THEN 0.0::DOUBLE ELSE l_extendedprice END * 1.2::DOUBLE AS tt_p95,
       CAST(l_partkey AS BIGINT) AS trip_count FROM lineitem)""",
-    "trip_times": """trip_times AS (SELECT l_linestatus AS engine, l_orderkey AS trip_id, CAST(floor(avg(l_extendedprice)) AS BIGINT) AS tt FROM lineitem GROUP BY ALL)""",
+    "trip_times": """trip_times AS (SELECT l_linestatus AS engine, l_orderkey AS trip_id, CAST(floor(max(l_extendedprice)) AS BIGINT) AS tt FROM lineitem GROUP BY ALL)""",
     "link_counts": """link_counts AS (SELECT l_linestatus AS engine, l_partkey AS link, count(*) AS n FROM lineitem GROUP BY ALL)""",
-    "trips": """trips AS (SELECT 't' || event_id AS trip_id, 'n' || user_id AS origin, 'n' || lead(user_id) OVER (PARTITION BY hour(ts) ORDER BY ts, event_id) AS destination,
+    "trips": """trips AS (SELECT 't' || event_id AS trip_id, 'n' || user_id AS origin, 'n' || lead(user_id) OVER (ORDER BY ts, event_id) AS destination,
       CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS departure_time_s,
       ['car', 'transit', 'bike', 'walk'][1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 4] AS mode,
       ['HBW_AM', 'HBW_PM', 'HBSchool_AM', 'HBSchool_PM', 'HBW_AM_chained', 'HBW_PM_chained'][1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 6] AS purpose
       FROM events WHERE event_type = 'view')""",
     "links": """links AS (SELECT * FROM (SELECT 'l' || event_id AS link_id, event_id AS link_pos, 'n' || user_id AS from_node,
-      'n' || lead(user_id) OVER (PARTITION BY day(ts) ORDER BY ts, event_id) AS to_node, CAST(value AS DOUBLE) AS length
+      'n' || lead(user_id) OVER (ORDER BY ts, event_id) AS to_node, CAST(value AS DOUBLE) AS length
       FROM events WHERE event_type = 'purchase') WHERE to_node IS NOT NULL AND from_node <> to_node)""",
     "link_events": """link_events AS (SELECT user_id AS veh, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS link,
       CASE WHEN event_type = 'click' THEN 'entered' ELSE 'left' END AS type, epoch_us(ts) AS t, event_id AS pos FROM events WHERE event_type IN ('click', 'view'))""",

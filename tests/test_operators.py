@@ -47,7 +47,7 @@ def test_fidelity(spark):
 def test_demand(spark):
     names = ["HBW_AM", "HBW_AM", "HBSchool_AM", "HBW_AM_chained", "HBW_PM", "HBW_PM_chained", "HBSchool_PM", " ", None]
     rows = spark.createDataFrame([(p,) for p in names], "purpose string")
-    assert tuple(demand.composition(rows).first()) == (7, 4, 3, 2)
+    assert tuple(demand.composition(rows).first()) == (7, 4, 3, 4, 1, 1)
     trips = spark.createDataFrame(
         [("1", "a", "c", "car", 0), ("2", "a", "d", "car", 5), ("3", None, "a", "car", 9), ("4", "a", "c", "walk", 1), ("5", "a", "x", "car", 2), ("6", "a", "b", " ", 4000)],
         "trip_id string, origin string, destination string, mode string, departure_time_s long",
