@@ -1,113 +1,97 @@
 """N-gram Jaccard join: classes of documents whose shingle sets are nearly equal.
 
-Two sets link when ``100 * |A and B| >= PERCENT * |A or B|``. Candidates come from prefix
-filters under several global token orders (the order of a shingle's hash under different
-multipliers), intersected before any set is compared:
-
-1. A set of ``n`` shingles needs a partner to share ``o = ceil(n * PERCENT / 100)`` of them,
-   so under any global order the first ``n - o + l`` shingles of both share at least ``l``.
-   ``sketches`` keeps that prefix for the first order, one row a document, from one pass.
-2. Equal sets are one class, and one row stands for it from there on.
-3. A shingle's count over the prefixes is summed by Spark. A set with fewer than ``l``
-   shared shingles in its prefix has no partner and is done. Of the others the shared
-   shingles are ordered by that count, and as ``l`` must be shared, only the rarest few
-   are searched: a passage that thousands share is hardly ever among them.
-4. A bucket holds the sets that search by one shingle. Its sets are compared with the
-   bucket's few best pivots first (those with the fewest shingles of their own: an original
-   beats its edited copies), so a large group of near copies becomes one component by a
-   number of comparisons linear in its size. Then every pair of a bucket that is still in
-   two components is compared, the bucket's largest component on one side only.
-5. A pair is compared if its sizes allow the link and its plain prefixes (``l = 1``) under
-   all the other orders meet. Components come from rounds of label propagation with pointer jumping.
-
-Nothing is capped: each pair that may link is compared or already in one component.
+Two sets link when ``100 * |A and B| >= PERCENT * |A or B|``. Every linked pair passes a prefix
+filter under each global token order, so candidates are intersected over four orders before
+any two sets are compared:
+
+1. Order by hash. A set of ``n`` shingles needs a partner to share ``o = ceil(n * PERCENT / 100)``
+   of them, so the first ``n - o + l`` shingles of both share at least ``l``. ``sketches`` makes
+   that prefix. Equal sets are one class from there on. A class with fewer than ``l`` prefix
+   shingles that another class's prefix has too has no partner and is done (``candidates``); of
+   the others' whole sets, those with more than ``n - o`` shingles of their own (``searchable``).
+2. Order by count among those sets, rarest first (``searches``). The first common shingle of a
+   linked pair is among the first ``n - o + 1`` of both, and the shingles before it are not
+   common: from its places ``i`` and ``j``, ``min(n - i, m - j)`` bounds the intersection. A set
+   of a large group of copies whose own edits alone forbid a link gets no candidate there.
+3. Orders by two multiplied hashes (``verify``): the prefixes of both must meet as well, before
+   the pair's whole sets are fetched and intersected.
+
+A bucket holds the sets that search by one shingle. Its sets are compared with a few pivots
+first (those with the fewest rarer shingles: an original beats its edited copies), so a group of
+near copies becomes one component by a number of comparisons linear in its size. What is still
+in two components is then compared with the bucket's other sets, by equal bucket and a size at
+which the bound of 2. can hold. Components come from rounds of label propagation with pointer
+jumping. Nothing is capped: each pair that may link is compared or already in one component.
 
 Defined results: null texts and texts without words have no shingle and stay alone; fewer
-words than a shingle's make one shingle; repeated rows and equal ids fall together where
-their texts do; rows with a null id take part, and a class of them alone has a null
-component; an empty table gives an empty result; other columns are ignored.
+words than a shingle's make one shingle; very long texts are hashed in pieces and compared
+whole; repeated rows and equal ids fall together where their texts do; rows with a null id take
+part, and a component of them alone has a null id; of ties the smallest id names a component; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corridor.llm.shingling import mix, shingle_sets, slices
 from corridor.session import materialise
 
 WORDS = 3
 PERCENT = 90
-#: At least so many shared prefix shingles are asked for, where a set is large enough.
-LEAST_SHARED = 40
-#: Pivots of a bucket, and words a worker keeps the hashes of.
+#: Shared prefix shingles that are asked for: so many, or so many hundredths of a larger set.
+LEAST_SHARED, SHARED_PERCENT = 24, 5
+#: Pivots of a bucket.
 PIVOTS = 3
-CACHE_WORDS = 1_000_000
 #: Multipliers (odd 64-bit numbers) of the global orders besides the hash's own.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Rows that agree in these are one class.
 KEY = ["n", "sig1", "sig2"]
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_KNOWN: dict[str, int] = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words of a text after lower-casing A-Z alone."""
-    if not text:
-        return []
-    low = text.lower() if text.isascii() else text.translate(_UPPER)
-    return [w for w in _SPACE.split(low) if w]
-
-
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    try:
-        hashes = list(map(_KNOWN.__getitem__, words))
-    except KeyError:
-        if len(_KNOWN) > CACHE_WORDS:
-            _KNOWN.clear()
-        for w in words:
-            if w not in _KNOWN:
-                _KNOWN[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        hashes = list(map(_KNOWN.__getitem__, words))
-    one = np.array(hashes, dtype=np.uint64)
-    size = min(size, len(one))
-    count = len(one) - size + 1
-    out = np.full(count, size, dtype=np.uint64)
-    for i in range(size):
-        out = _mix(out + one[i : i + count])
-    return np.unique(out)
-
-
-def shared_needed(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
+#: Begins the names of a row's class beside the row's own columns.
+MARK = "corridor_class_"
+
+
+def shared_needed(n: int, percent: int = PERCENT) -> int:
     """How many shingles a set of ``n`` shares with any partner, at least."""
     return -(-n * percent // 100)
 
 
 def _asked(n: int, percent: int) -> int:
     """Shared shingles that ``sketches`` lets a set's prefix hold; it never falls as ``n`` grows."""
-    return max(1, min(shared_needed(n, percent), max(LEAST_SHARED, n * (100 - percent) // 100)))
+    return max(1, min(shared_needed(n, percent), max(LEAST_SHARED, n * SHARED_PERCENT // 100)))
+
+
+def _needed_sql(n: str, percent: int) -> str:
+    return f"((({n}) * {percent} + 99) div 100)"
+
+
+def _asked_sql(n: str, percent: int) -> str:
+    return f"greatest(1L, least({_needed_sql(n, percent)}, greatest({LEAST_SHARED}L, ({n}) * {SHARED_PERCENT} div 100)))"
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits a set that equal sets share, as two signed columns."""
+    out = np.zeros((len(sets), 2), dtype=np.uint64)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        flat = np.concatenate([sets[i] for i in full])
+        begins = np.cumsum([0, *(len(sets[i]) for i in full)])[:-1]
+        for k, values in enumerate((flat, flat * np.uint64(ORDERS[0]))):
+            out[full, k] = np.add.reduceat(mix(values), begins)
+    return out.view(np.int64)
 
 
-def _signature(own: np.ndarray) -> tuple[int, int]:
-    """128 bits that equal sets share."""
-    return (int(_mix(own).sum(dtype=np.uint64)), int(_mix(own * np.uint64(ORDERS[0])).sum(dtype=np.uint64)))
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
 def sketches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -119,109 +103,114 @@ def sketches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ns, sigs, prefixes = [], [], []
-            for text in batch.column(1):
-                own = shingles(text.as_py(), size)
-                n = len(own)
-                ns.append(n)
-                sigs.append(_signature(own))
-                prefixes.append(own[: n - shared_needed(n, percent) + _asked(n, percent)].view(np.int64))
-            ends = np.cumsum([0, *map(len, prefixes)])
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, dtype=np.int64)
-            sig = np.array(sigs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [
-                batch.column(0),
-                pa.array(ns, pa.int64()),
-                pa.array(sig[:, 0]),
-                pa.array(sig[:, 1]),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sig1", "sig2", "prefix"])
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            sets = shingle_sets(batch.column(1), size)
+            sig = signatures(sets)
+            prefixes = [s[: len(s) - shared_needed(len(s), percent) + _asked(len(s), percent)] for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), _lists(prefixes)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *KEY, "prefix"])
 
     kind = f"doc_id {id_type}, n long, sig1 long, sig2 long, prefix array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
+def _own_counts(tokens: DataFrame) -> DataFrame:
+    """``v, own``: how many of a class's shingles (``v, token``) no other class has. Repeated rows count once."""
+    ends = tokens.groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("last"))
+    return ends.where("v = last").groupBy("v").agg(F.count("*").alias("own"))
+
+
+def candidates(classes: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The classes (``v, doc_id, n``) that may have a partner, from the prefixes of all ``docs``.
+
+    A class that shares fewer of its prefix shingles than the asked number is alone.
+    """
+    tokens = sketches(docs, size, percent).select(F.col("sig1").alias("v"), F.explode("prefix").alias("token"))
+    asked = _asked_sql("n", percent)
+    least = _asked_sql(f"n * {percent} div 100", percent)  # no partner is smaller than that
+    found = classes.join(_own_counts(tokens), "v", "left")
+    return found.where(f"n - {_needed_sql('n', percent)} + {asked} - coalesce(own, 0L) >= {least}").select("v", "doc_id", "n")
+
+
+def _texts_of(found: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``v, text``: one text of each class.
+
+    It is one with the class's id whose signature is the class's (an id may stand for several
+    texts); a class without an id is found among the texts without one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            sig = pa.array(signatures(shingle_sets(batch.column(1), size))[:, 0])
+            wanted = batch.column(0)
+            own = pc.fill_null(pc.equal(wanted, sig), True)
+            yield pa.RecordBatch.from_arrays([sig, batch.column(1)], ["v", "text"]).filter(own)
+
+    kind = "v long, text string"
+    # the classes grow with the documents: joined by a shuffle at every size
+    named = docs.join(found.where("doc_id IS NOT NULL").select("v", "doc_id").hint("merge"), "doc_id").select("v", "text")
+    bare = docs.where("doc_id IS NULL AND text IS NOT NULL").select(F.lit(None).cast("long").alias("v"), "text")
+    bare = bare.mapInArrow(run, kind).join(found.where("doc_id IS NULL").select("v"), "v", "left_semi")
+    return named.mapInArrow(run, kind).union(bare).dropDuplicates(["v"])
+
+
+def whole_sets(texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``v, n, own_set, second, third`` of ``texts`` (``v, text``): a set and its prefixes under two more orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            sets = shingle_sets(batch.column(1), size)
+            keeps = [len(s) - shared_needed(len(s), percent) + 1 for s in sets]
+            turned = [[np.sort(s * np.uint64(k))[:keep] for s, keep in zip(sets, keeps)] for k in ORDERS]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), *map(_lists, turned)]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "n", "own_set", "second", "third"])
+
+    return texts.select("v", "text").mapInArrow(run, "v long, n long, own_set array<long>, second array<long>, third array<long>")
+
+
+def searchable(found: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The classes of ``found`` whose whole sets hold few enough shingles of their own for a link."""
+    own = _own_counts(whole_sets(texts, size, percent).select("v", F.explode("own_set").alias("token")))
+    return found.join(own, "v", "left").where(f"coalesce(own, 0L) <= n - {_needed_sql('n', percent)}").select("v", "doc_id", "n")
+
+
 def searches(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``v, n, own, token``: the shingles that each set (``v, n, prefix``) searches partners by.
+    """``v, n, i, token``: the shingles by which each set (``v, n, own_set``) is searched, rarest first.
 
-    ``own`` counts the prefix's shingles that no other prefix has.
+    ``i`` is the shingle's place in the set's order by count.
     """
-    exploded = sets.select("v", "n", F.explode("prefix").alias("token"))
+    exploded = sets.select("v", "n", F.explode("own_set").alias("token"))
     counts = exploded.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     shared = exploded.join(counts, "token").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("s"))
-    keep = f"(n - cast(ceil(n * {percent} / 100.0D) AS bigint))"
-    asked = lambda n: f"greatest(1L, least(cast(ceil({n} * {percent} / 100.0D) AS bigint), greatest({LEAST_SHARED}L, {n} * {100 - percent} div 100)))"
-    least = f"(n * {percent} div 100)"  # no partner is smaller
-    rows = shared.selectExpr("v", "n", "s", f"{keep} + {asked('n')} - size(s) AS own", f"{asked(least)} AS least", f"{keep} + {asked('n')} AS length")
-    # of `length` shingles `least` must be shared: under the order by count, the first length - least + 1 share one
-    found = rows.where("size(s) >= least").selectExpr("v", "n", "own", "length - least + 1 - own AS take", "s").where("take > 0")
-    return found.select("v", "n", "own", F.explode(F.expr("slice(s, 1, cast(least(take, size(s)) AS int))")).alias("x")).select("v", "n", "own", F.col("x.token").alias("token"))
+    # shingles that no other set has come first; `take` of the shared ones end the prefix
+    rows = shared.selectExpr("v", "n", "s", "n - size(s) AS own").withColumn("take", F.expr(f"n - {_needed_sql('n', percent)} + 1 - own"))
+    rows = rows.where("take > 0").select("v", "n", "own", F.expr("slice(s, 1, cast(least(take, size(s)) AS int))").alias("s"))
+    return rows.select("v", "n", "own", F.posexplode("s").alias("at", "x")).selectExpr("v", "n", "own + at AS i", "x.token AS token")
 
 
-def _meets(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (``a, b``) whose sizes (``na, nb``) allow a link."""
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") != F.col("b"))
-    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _may_link(percent: int, reach: str, sizes: str) -> str:
+    """A bound of the intersection that is too small for a link of sets with these sizes in sum fails."""
+    return f"({100 + percent} * ({reach}) >= {percent} * ({sizes}))"
 
 
-def _orders(own: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The plain prefix of a set under each further order."""
-    keep = len(own) - shared_needed(len(own), percent) + 1
-    out = []
-    for k in ORDERS:
-        turned = own * np.uint64(k)
-        out.append(np.sort(turned)[:keep])
-    return out
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (``a, b``) whose sets link. ``texts``: ``v, text``.
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (``a, b``) whose sets link.
 
-    The prefixes under all the other orders must meet before two sets are compared.
+    Their prefixes under the further orders must meet before the whole sets are fetched.
     """
-    left = texts.select(F.col("v").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("v").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-
-        def known(v: int, text: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
-            if v not in recent:
-                if len(recent) > 2000:
-                    recent.clear()
-                own = shingles(text.as_py(), size)
-                recent[v] = (own, _orders(own, percent))
-            return recent[v]
-
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (x, y) in enumerate(zip(a, b)):
-                sa, pa_ = known(x, batch.column(2)[i])
-                sb, pb = known(y, batch.column(3)[i])
-                if not all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(pa_, pb)):
-                    continue
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                if 100 * both >= percent * (len(sa) + len(sb) - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _of_their_class(rows: DataFrame, size: int) -> DataFrame:
-    """``v, text`` without the rows whose text is of another class (an id may stand for several texts)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.uint64(_signature(shingles(t.as_py(), size))[0]).astype(np.int64) for t in batch.column(1)]
-            yield batch.filter(pa.array(np.array(own, dtype=np.int64) == batch.column(0).to_numpy()))
+    def sides(rows: DataFrame, *columns: str) -> DataFrame:
+        for end in ("a", "b"):
+            rows = rows.join(sets.select(F.col("v").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
+        return rows
 
-    return rows.select("v", "text").mapInArrow(run, "v long, text string").dropDuplicates(["v"])
+    met = sides(pairs, "second", "third").where("arrays_overlap(a_second, b_second) AND arrays_overlap(a_third, b_third)").select("a", "b")
+    common = "size(array_intersect(a_own_set, b_own_set))"
+    return sides(met, "n", "own_set").where(_may_link(percent, common, "a_n + b_n")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,55 +230,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_classes(sets: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``v, comp`` of the sets (``v, doc_id, n, prefix``) that link with another one."""
+def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``v, comp`` of the sets that link with another one."""
     buckets = materialise(searches(sets, percent), "buckets")
     # a shingle that one set alone searches by finds nobody
-    best = [F.min(F.when(F.pmod("v", F.lit(PIVOTS)) == k, F.struct("own", "v", "n"))).alias(f"p{k}") for k in range(PIVOTS)]
+    best = [F.min(F.when(F.pmod("v", F.lit(PIVOTS)) == k, F.struct("i", "v", "n"))).alias(f"p{k}") for k in range(PIVOTS)]
     alive = buckets.groupBy("token").agg(F.count("*").alias("members"), *best).where("members > 1")
     pivots = materialise(alive.select("token", F.array_compact(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")), "pivots")
-    members = buckets.join(pivots, "token")
-    ids = members.select("v").distinct()
-    searched = sets.select("v", "doc_id").join(ids, "v")
-    held = _of_their_class(docs.join(searched, "doc_id"), size)
-    # a class without an id is found by its text alone
-    bare = _signed(docs.where("doc_id IS NULL").select("text"), size).select(F.col("_sig1").alias("v"), "text")
-    bare = bare.join(searched.where("doc_id IS NULL").select("v"), "v", "left_semi").dropDuplicates(["v"])
-    held = materialise(held.union(bare), "sets")
-
-    star = members.select(F.col("v").alias("a"), F.col("n").alias("na"), F.explode("p").alias("q")).select("a", "na", F.col("q.v").alias("b"), F.col("q.n").alias("nb"))
-    first = materialise(verify(_meets(star, percent), held, size, percent), "links")
+    star = buckets.join(pivots, "token").select("v", "n", "i", F.explode("p").alias("q")).where(_may_link(percent, "least(n - i, q.n - q.i)", "n + q.n"))
+    first = materialise(verify(_distinct_pairs(star.selectExpr("v AS a", "q.v AS b")), sets, percent), "links")
     named = components(first)
 
-    # buckets with more than one component, by component
-    spread = buckets.join(pivots.select("token"), "token").join(named, "v", "left").select("token", "v", "n", F.coalesce("comp", "v").alias("comp"))
+    # of the buckets with more than one component, the sets outside the largest one search on
+    spread = buckets.join(pivots.select("token"), "token").join(named, "v", "left").select("token", "v", "n", "i", F.coalesce("comp", "v").alias("comp"))
     spread = materialise(spread, "spread")
     sizes = spread.groupBy("token", "comp").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("big"), F.count("*").alias("parts")).where("parts > 1")
     open_ = spread.join(largest.select("token", F.col("big.comp").alias("big")), "token")
-    few = open_.where("comp <> big").select("token", F.col("v").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    all_ = open_.select("token", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("big")).alias("in_big"))
-    apart = (
-        (F.col("ca") != F.col("cb"))
-        & (F.col("in_big") | (F.col("a") < F.col("b")))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    )
-    cross = few.join(all_, "token").where(apart)
-    second = materialise(verify(_meets(cross, percent), held, size, percent), "links")
+    by_size = open_.groupBy("token", F.col("n").alias("m")).agg(F.max(F.col("n") - F.col("i")).alias("reach"))
+    few = open_.where("comp <> big").select("token", F.col("v").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
+    few = few.join(by_size, "token").where(_may_link(percent, "least(na - ia, reach)", "na + m")).drop("reach")
+    all_ = open_.select("token", F.col("v").alias("b"), F.col("n").alias("m"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
+    cross = few.join(all_, ["token", "m"]).where(F.col("ca") != F.col("cb")).where(_may_link(percent, "least(na - ia, m - ib)", "na + m"))
+    second = materialise(verify(_distinct_pairs(cross), sets, percent), "links")
     if second.limit(1).count() == 0:
         return named
     return components(first.union(second))
 
 
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' sketches, and ``n, sig1, sig2, doc_id, comp`` of every class: its smallest id and its component."""
+    """The rows' classes (``doc_id, n, sig1, sig2``), and ``n, sig1, sig2, doc_id, comp`` of every class: its smallest id and its component."""
     docs = docs.select("doc_id", "text")
-    rows = materialise(sketches(docs, size, percent), "sketches")
-    classes = materialise(rows.where("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("doc_id")), "classes")
-    own = [rows[k].eqNullSafe(classes[k]) for k in ("doc_id", *KEY)]  # a class without an id is held by its rows
-    sets = rows.join(classes, own, "left_semi").select(F.col("sig1").alias("v"), "doc_id", "n", "prefix").dropDuplicates(["v", "doc_id"])
-    linked = link_classes(materialise(sets, "representatives"), docs, size, percent)
-    named = classes.join(linked.withColumnRenamed("v", "sig1"), "sig1", "left").select(*KEY, "doc_id", F.coalesce("comp", "sig1").alias("comp"))
+    rows = materialise(sketches(docs, size, percent).drop("prefix"), "sketches")
+    classes = materialise(rows.where("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("doc_id")).withColumn("v", F.col("sig1")), "classes")
+    found = materialise(candidates(classes.dropDuplicates(["v"]), docs, size, percent), "candidates")
+    texts = materialise(_texts_of(found, docs, size), "texts")
+    found = materialise(searchable(found, texts, size, percent), "searchable")
+    sets = materialise(whole_sets(texts.join(found.select("v"), "v", "left_semi"), size, percent), "sets")
+    linked = link_classes(sets, percent)
+    named = classes.join(linked, "v", "left").select(*KEY, "doc_id", F.coalesce("comp", "v").alias("comp"))
     return rows, materialise(named, "named")
 
 
@@ -303,16 +282,16 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with each row's own class (``_n, _sig1, _sig2``)."""
+    """``docs`` with each row's own class, in columns that begin with ``MARK``."""
     at = docs.columns.index("text")
-    kind = T.StructType([*docs.schema.fields, *(T.StructField(f"_{k}", T.LongType()) for k in KEY)])
+    kind = T.StructType([*docs.schema.fields, *(T.StructField(f"{MARK}{k}", T.LongType()) for k in KEY)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(at)]
-            sig = np.array([_signature(own) for own in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        for batch in (part for whole in batches for part in slices(whole, at)):
+            sets = shingle_sets(batch.column(at), size)
+            sig = signatures(sets)
             columns = [*batch.columns, pa.array([len(own) for own in sets], pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f"_{k}" for k in KEY)])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f"{MARK}{k}" for k in KEY)])
 
     return docs.mapInArrow(run, kind)
 
@@ -335,9 +314,9 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     # rows of other ids and without one are told apart by their own texts
     many = docs.join(ids.where("k > 1"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
     many = materialise(_signed(many, size), "repeated")
-    own = [many[f"_{k}"] == chosen[k] for k in KEY]
+    own = [many[f"{MARK}{k}"] == chosen[k] for k in KEY]
     found = many.join(chosen, [many["doc_id"].eqNullSafe(chosen["doc_id"]), *own], "left_semi")
-    bare = many.where("_n = 0")
+    bare = many.where(f"{MARK}n = 0")
     order = F.xxhash64(*docs.columns)
     first = lambda df, *keys: df.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
-    return one.union(first(found, "doc_id", *(f"_{k}" for k in KEY))).union(first(bare.where("doc_id IS NOT NULL"), "doc_id", "text")).union(bare.where("doc_id IS NULL").select(*docs.columns))
+    return one.union(first(found, "doc_id", *(f"{MARK}{k}" for k in KEY))).union(first(bare.where("doc_id IS NOT NULL"), "doc_id", "text")).union(bare.where("doc_id IS NULL").select(*docs.columns))
