@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corridor.session import materialise
@@ -146,3 +147,45 @@ def largest_component(links: DataFrame) -> DataFrame:
             best, best_nodes = (size, least), own
         left = materialise(both.join(own, "node", "left_anti"), "nodes")
     return best_nodes
+
+
+def ranked_classes(links: DataFrame) -> DataFrame:
+    """``road, n, first_pos, place``: classes by falling count, the first seen first. The window holds one row a class."""
+    by = links.groupBy("road").agg(F.count("*").alias("n"), F.min("link_pos").alias("first_pos"))
+    return by.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "first_pos")))
+
+
+def class_table(links: DataFrame, most: int = 12) -> DataFrame:
+    """``links`` with ``class``: its road class, or one name for all classes beyond the first ``most``."""
+    classes = ranked_classes(links)
+    others = classes.where(F.col("place") > most).agg(F.count("*").alias("k"))  # one row
+    named = classes.crossJoin(F.broadcast(others)).select("road", F.when(F.col("place") <= most, F.col("road")).otherwise(F.concat(F.lit("(other x "), "k", F.lit(")"))).alias("class"))
+    return links.join(named, "road")
+
+
+def degenerate_counts(links: DataFrame) -> DataFrame:
+    """Links, self-loops, others without a length, and what is left."""
+    loop, flat = F.col("from_node") == F.col("to_node"), F.col("length") <= 0
+    n = lambda c: F.count(F.when(c, 1))
+    return links.agg(F.count("*").alias("links"), n(loop).alias("self_loops"), n(~loop & flat).alias("no_length"), n(~loop & ~flat).alias("kept"))
+
+
+def links_of_steps(steps: DataFrame, links: DataFrame) -> DataFrame:
+    """``path, pos, link_id`` of each pair of nodes in a row (``path, pos, node``): the first link between them, null without one."""
+    order = W.partitionBy("path").orderBy("pos")
+    pairs = steps.withColumn("to_node", F.lead("node").over(order)).where("to_node IS NOT NULL").withColumnRenamed("node", "from_node")
+    first = links.groupBy("from_node", "to_node").agg(F.min_by("link_id", "link_pos").alias("link_id"))
+    return pairs.join(first, ["from_node", "to_node"], "left").select("path", "pos", "link_id")
+
+
+def link_paths(tied: DataFrame) -> DataFrame:
+    """``path, links`` of the paths whose every step has a link."""
+    by = tied.groupBy("path").agg(F.count("*").alias("k"), F.sort_array(F.collect_list(F.when(F.col("link_id").isNotNull(), F.struct("pos", "link_id")))).alias("s"))
+    return by.where("size(s) = k").select("path", F.transform("s", lambda x: x["link_id"]).alias("links"))
+
+
+def with_endpoints(links: DataFrame, nodes: DataFrame, metric: DataFrame) -> DataFrame:
+    """Links with the places of both ends, and a metric that is 0 where a link has none."""
+    end = lambda k, name: nodes.select(F.col("node").alias(name), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    both = links.join(end(1, "from_node"), "from_node").join(end(2, "to_node"), "to_node").join(metric, "link_id", "left")
+    return both.select("link_id", "x1", "y1", "x2", "y2", F.coalesce("volume", F.lit(0)).alias("volume"))

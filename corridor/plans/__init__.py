@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("statistics", "networks", "projections", "reports")
+MODULES: tuple[str, ...] = ("statistics", "networks", "projections", "reports", "spatial")
 
 
 def load_all() -> None:
