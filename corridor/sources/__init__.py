@@ -1,0 +1 @@
+"""Readers of the domain's files as DataFrames."""
