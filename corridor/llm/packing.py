@@ -35,7 +35,7 @@ WINDOW = 4096
 #: Tokens of a length bin, parts of a combination, and pieces of a residual group.
 BIN = 16
 PARTS = 3
-GROUP = 20_000
+GROUP = 4_000
 #: Pieces for each salt beyond the first 64.
 PIECES_PER_SALT = 200_000
 
