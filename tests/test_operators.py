@@ -126,3 +126,68 @@ def test_every_trip_has_its_path(spark):
     found = {r["trip_id"]: r["path"] for r in registry.queries()["gr_bfs_paths"](spark, sf).collect()}
     paths = {r["trip_id"]: _search(links, r["origin"], r["destination"]) for r in trips}
     assert found == {k: p if p is None else " ".join(p) for k, p in paths.items()}
+
+
+def _restricted(links, origin, dest, forbidden):
+    """A breadth-first search over states of node and last link; ``links`` are (pos, id, from, to) in order."""
+    if origin is None or dest is None:
+        return None
+    if origin == dest:
+        return [origin]
+    last = {(a, b): i for _, i, a, b in links}
+    queue, parent = deque([(origin, None)]), {(origin, None): None}
+    while queue:
+        state = queue.popleft()
+        for _, _, a, b in links:
+            if a != state[0] or (a, state[1], last[a, b]) in forbidden or (b, last[a, b]) in parent:
+                continue
+            parent[b, last[a, b]] = state
+            if b == dest:
+                path, at = [], (b, last[a, b])
+                while at is not None:
+                    path.append(at[0])
+                    at = parent[at]
+                return path[::-1]
+            queue.append((b, last[a, b]))
+    return None
+
+
+def test_restricted_paths(spark):
+    rnd = random.Random(11)
+    nodes = [f"n{i}" for i in range(7)]
+    rows = [(f"l{i}", i, rnd.choice(nodes), rnd.choice(nodes), 1.0) for i in range(20)]
+    links = spark.createDataFrame(rows, "link_id string, link_pos long, from_node string, to_node string, length double")
+    moves = {(b, i, j) for i, _, _, b, _ in rows for j, _, a, _, _ in rows if a == b and rnd.random() < 0.4}
+    forbidden = spark.createDataFrame(sorted(moves), "via_node string, from_link string, to_link string")
+    ends = [(a, b) for a in [*nodes, None] for b in [*nodes, "far"]]
+    trips = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ends)], "trip_id long, origin string, destination string")
+    own = [(p, i, a, b) for i, p, a, b, _ in rows]
+    found = {r["trip_id"]: r["path"] for r in network.restricted_paths(links, trips, forbidden).collect()}
+    assert found == {i: _restricted(own, a, b, moves) for i, (a, b) in enumerate(ends)}
+    plain = [(p, a, b) for i, p, a, b, _ in rows]
+    found = {r["trip_id"]: r["path"] for r in network.routes(links, trips, forbidden).collect()}
+    assert found == {i: _restricted(own, a, b, moves) or _search(plain, a, b) or [] for i, (a, b) in enumerate(ends)}
+    fixture = _links(spark, [("n1", "n2"), ("n2", "n3"), ("n2", "n4"), ("n3", "n5"), ("n4", "n5")])
+    one = spark.createDataFrame([("n1", "n5")], "origin string, destination string")
+    bar = lambda *to: spark.createDataFrame([("n2", "l0", t) for t in to], "via_node string, from_link string, to_link string")
+    assert network.restricted_paths(fixture, one, bar("l2")).first()["path"] == ["n1", "n2", "n3", "n5"]
+    assert network.restricted_paths(fixture, one, bar("l1")).first()["path"] == ["n1", "n2", "n4", "n5"]
+    assert network.restricted_paths(fixture, one, bar("l1", "l2")).first()["path"] is None
+
+
+def test_ring_and_random_components(spark):
+    ring = _links(spark, [(f"v{i}", f"v{(i + 1) % 5000}") for i in range(5000)] + [("v3", "out"), ("in", "v9")])
+    assert {r["node"] for r in network.largest_component(ring).collect()} == {f"v{i}" for i in range(5000)}
+    rnd = random.Random(6)
+    for n, m in ((12, 14), (14, 18), (9, 30)):
+        pairs = [(f"x{rnd.randrange(n)}", f"x{rnd.randrange(n)}") for _ in range(m)]
+        reach = {a: {a} for p in pairs for a in p}
+        for _ in range(n):
+            for a, b in pairs:
+                for s in reach:
+                    if a in reach[s]:
+                        reach[s].add(b)
+        found = {frozenset(b for b in reach[a] if a in reach[b]) for a in reach if any(a != b for b in reach) or True}
+        linked = {a for p in pairs if p[0] != p[1] for a in p}
+        best = min((c for c in found if c & linked), key=lambda c: (-len(c), min(c)))
+        assert {r["node"] for r in network.largest_component(_links(spark, pairs)).collect()} == set(best)
