@@ -310,7 +310,7 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     # an id of one row names its class
     lone = ids.where("k = 1")
     kept = lone.where("n = 0").select("doc_id").union(lone.join(chosen, "doc_id", "left_semi").select("doc_id"))
-    one = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    one = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # ids grow with the documents
     # rows of other ids and without one are told apart by their own texts
     many = docs.join(ids.where("k > 1"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
     many = materialise(_signed(many, size), "repeated")

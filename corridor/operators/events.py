@@ -26,3 +26,10 @@ def active_at(stays: DataFrame, frames: DataFrame, bin_us: int) -> DataFrame:
     cut = stays.withColumn("bin", F.explode(F.sequence(F.floor(F.col("t_in") / bin_us), F.floor(F.col("t_out") / bin_us))))
     at = frames.withColumn("bin", F.floor(F.col("t") / bin_us))
     return cut.join(at, "bin").where("t BETWEEN t_in AND t_out").groupBy("t").agg(F.count("*").alias("active"))
+
+
+def positions_at(stays: DataFrame, frames: DataFrame, bin_us: int) -> DataFrame:
+    """Vehicles on a link at each frame time with the share of their stay that has passed."""
+    cut = stays.withColumn("bin", F.explode(F.sequence(F.floor(F.col("t_in") / bin_us), F.floor(F.col("t_out") / bin_us))))
+    at = frames.withColumn("bin", F.floor(F.col("t") / bin_us))
+    return cut.join(at, "bin").where("t BETWEEN t_in AND t_out").select("t", "veh", "link", ((F.col("t") - F.col("t_in")) / (F.col("t_out") - F.col("t_in"))).alias("progress"))

@@ -120,11 +120,11 @@ def gaussian_pairs(people: DataFrame, nodes: DataFrame, seed: int, tries: int =
     within 0.1 km: proposed by degree, kept by the bell; a person without a kept one is dropped.
     """
     items = nodes.withColumn("w", (F.col("degree") + 1).cast("bigint"))
-    spread = people.select("id", F.col("home").alias("origin"), F.greatest(F.lit(0.5), F.least(F.lit(15.0), F.col("commute_min") * 0.5)).alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("j"))
+    spread = people.select("id", F.col("home").alias("origin"), F.greatest(F.lit(0.5), F.least(F.lit(15.0), F.col("commute_min") * 0.5)).alias("_goal"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("j"))
     spread = spread.withColumn("_key", F.concat_ws(".", "id", "j")).withColumn("_d", uniform(seed, F.col("_key"), "destination"))
     at = lambda name: nodes.select(F.col("node").alias(name), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"))
     both = pick(spread, "_d", items, "destination").where("origin <> destination").join(at("origin"), "origin").join(at("destination"), "destination")
     km = haversine_km(F.col("origin_lat"), F.col("origin_lon"), F.col("destination_lat"), F.col("destination_lon"))
-    bell = F.exp(F.pow((F.col("_km") - F.col("_t")) / (F.col("_t") * 0.7 + 0.5), F.lit(2.0)) * -0.5)
+    bell = F.exp(F.pow((F.col("_km") - F.col("_goal")) / (F.col("_goal") * 0.7 + 0.5), F.lit(2.0)) * -0.5)
     kept = both.withColumn("_km", km).where((F.col("_km") >= 0.1) & (uniform(seed, F.col("_key"), "keep") < bell))
     return kept.groupBy("id").agg(F.min(F.struct("j", "origin", "destination")).alias("b")).select("id", "b.origin", "b.destination")

@@ -181,15 +181,15 @@ def matsim_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pos", kind.alias("type"), F.col("time").try_cast("double").alias("t"), "link", F.coalesce("vehicle", "person").alias("veh")).where("type IS NOT NULL AND t IS NOT NULL AND link IS NOT NULL")
 
 
-RESULT = T.StructType.fromDDL(
-    "scenario string, scenario_id string, engine string, mode string, seed int, status string, runtime_s double, engine_wall_s double, cell_wall_s double, error_message string, "
-    "metrics struct<travel_time: struct<mean: double, p95: double, trip_count: bigint>>"
+RESULT = (
+    "struct<scenario: string, scenario_id: string, engine: string, mode: string, seed: int, status: string, runtime_s: double, engine_wall_s: double, cell_wall_s: double, "
+    "error_message: string, metrics: struct<travel_time: struct<mean: double, p95: double, trip_count: bigint>>>"
 )
 
 
 def results_json(spark: SparkSession, path: str) -> DataFrame:
     """Runs of result files (``results``, or ``runs`` in old ones). Files that hold no JSON raise."""
-    schema = T.StructType([T.StructField("results", T.ArrayType(RESULT)), T.StructField("runs", T.ArrayType(RESULT))])
+    schema = f"results array<{RESULT}>, runs array<{RESULT}>"
     rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
     found = rows.select(F.explode(F.coalesce("results", "runs")).alias("r")).select("r.*")
     who = identity.resolve(*map(F.col, ("scenario", "engine", "mode", "scenario_id")))
