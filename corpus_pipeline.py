@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+The key of the pseudonyms is the session's ``spark.corridor.pseudonymKey``.
+
+Null and empty texts have no words: the base rules reject them in the first stage. Repeated rows
+are judged alike, and one row of a component of near copies stays (``ngram_jaccard.keep_one`` has
+the order). Very long texts go through every stage whole. Other columns than ``doc_id`` and
+``text`` stay as they are, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corridor.llm import ngram_jaccard, packing, pii, quality_rules, toxicity
-from corridor.llm.queries import PSEUDONYM_KEY, WORD_BPE
+from corridor.llm.queries import WORD_BPE, pseudonym_key
 from corridor.session import materialise, table
 
 
@@ -24,8 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold of toxicity, by a lexicon from all labels of what is left."""
-    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon).where("predicted = 0").select(*docs.columns)
+    return toxicity.filter_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data; ``n_chars`` follows the text."""
-    out = pii.pseudonymise(docs, PSEUDONYM_KEY).drop("n_pii", "pii")
+    out = pii.pseudonymise(docs, pseudonym_key(spark), finds=False)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
@@ -55,7 +60,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SQL can't express the lexicon's training or the packing; tests hold the stages against brute force.
+#: SQL can't express the lexicon's training or the packing; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
