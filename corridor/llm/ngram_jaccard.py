@@ -54,8 +54,6 @@ PIVOTS = 3
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Rows that agree in these are one class.
 KEY = ["n", "sig1", "sig2"]
-#: Begins the names of a row's class beside the row's own columns.
-MARK = "corridor_class_"
 
 
 def shared_needed(n: int, percent: int = PERCENT) -> int:
@@ -281,17 +279,25 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with each row's own class, in columns that begin with ``MARK``."""
+def _free_mark(columns: list[str]) -> str:
+    """The beginning of names that no column has."""
+    mark = "class_"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark = "_" + mark
+    return mark
+
+
+def _signed(docs: DataFrame, size: int, mark: str) -> DataFrame:
+    """``docs`` with each row's own class, in columns that begin with ``mark``."""
     at = docs.columns.index("text")
-    kind = T.StructType([*docs.schema.fields, *(T.StructField(f"{MARK}{k}", T.LongType()) for k in KEY)])
+    kind = T.StructType([*docs.schema.fields, *(T.StructField(f"{mark}{k}", T.LongType()) for k in KEY)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, at)):
             sets = shingle_sets(batch.column(at), size)
             sig = signatures(sets)
             columns = [*batch.columns, pa.array([len(own) for own in sets], pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f"{MARK}{k}" for k in KEY)])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f"{mark}{k}" for k in KEY)])
 
     return docs.mapInArrow(run, kind)
 
@@ -303,6 +309,7 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     with that id the class with the smallest signature and then the smallest row hash decide.
     Rows without a shingle stay, equal texts under one id once.
     """
+    mark = _free_mark(docs.columns)
     rows, named = _classes(docs, size, percent)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig1", "sig2", "n")).alias("c")
     chosen = materialise(named.groupBy("comp").agg(least).select("c.doc_id", "c.sig1", "c.sig2", "c.n"), "chosen")
@@ -313,10 +320,10 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     one = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # ids grow with the documents
     # rows of other ids and without one are told apart by their own texts
     many = docs.join(ids.where("k > 1"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
-    many = materialise(_signed(many, size), "repeated")
-    own = [many[f"{MARK}{k}"] == chosen[k] for k in KEY]
+    many = materialise(_signed(many, size, mark), "repeated")
+    own = [many[f"{mark}{k}"] == chosen[k] for k in KEY]
     found = many.join(chosen, [many["doc_id"].eqNullSafe(chosen["doc_id"]), *own], "left_semi")
-    bare = many.where(f"{MARK}n = 0")
+    bare = many.where(f"{mark}n = 0")
     order = F.xxhash64(*docs.columns)
     first = lambda df, *keys: df.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
-    return one.union(first(found, "doc_id", *(f"{MARK}{k}" for k in KEY))).union(first(bare.where("doc_id IS NOT NULL"), "doc_id", "text")).union(bare.where("doc_id IS NULL").select(*docs.columns))
+    return one.union(first(found, "doc_id", *(f"{mark}{k}" for k in KEY))).union(first(bare.where("doc_id IS NOT NULL"), "doc_id", "text")).union(bare.where("doc_id IS NULL").select(*docs.columns))
