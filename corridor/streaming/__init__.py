@@ -1,0 +1 @@
+"""Streaming forms of event operators."""
