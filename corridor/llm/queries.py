@@ -12,6 +12,7 @@ from corridor.llm import (
     arrow_sequences,
     byte_bpe,
     language_id,
+    lexical_search,
     ngram_jaccard,
     ordinal_quality,
     packing,
@@ -116,6 +117,11 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "expected_grade", tail.alias("score"), (tail >= 0.5).alias("kept"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for each benchmark item, from an index of all documents."""
+    return lexical_search.search(lexical_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -129,8 +135,9 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_progressive_jpeg": op9_progressive_jpeg,
         "op10_ordinal_quality": op10_ordinal_quality,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.SQL, "quality_ablation": quality_rules.ABLATION_SQL}
+    return {"op5_quality_rules": quality_rules.SQL, "quality_ablation": quality_rules.ABLATION_SQL, "op13_lexical_search": lexical_search.SQL}
