@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from corridor.llm import (
     arrow_sequences,
     byte_bpe,
+    fingerprints,
     language_id,
     lexical_search,
+    merkle,
     ngram_jaccard,
     ordinal_quality,
     packing,
@@ -117,6 +119,18 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "expected_grade", tail.alias("score"), (tail >= 0.5).alias("kept"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, held against rows of which every fifth is tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.audit(merkle.build(merkle.leaves(docs, _crc_mod(5) == 0, text=lowered)))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted-sample fingerprints of all documents and of their edited texts, compared."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents for each benchmark item, from an index of all documents."""
     return lexical_search.search(lexical_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
@@ -135,9 +149,11 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_progressive_jpeg": op9_progressive_jpeg,
         "op10_ordinal_quality": op10_ordinal_quality,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_fingerprints": op12_fingerprints,
         "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.SQL, "quality_ablation": quality_rules.ABLATION_SQL, "op13_lexical_search": lexical_search.SQL}
+    return {"op5_quality_rules": quality_rules.SQL, "quality_ablation": quality_rules.ABLATION_SQL, "op11_merkle_manifest": merkle.SQL, "op13_lexical_search": lexical_search.SQL}
