@@ -1,7 +1,7 @@
 """Demand by hashed randomness: a draw depends on the seed, its row's key and its number alone, never on partitions.
 
-Weighted draws invert running sums of whole weights. Distances enter by rejection: a destination
-is proposed by its weight alone and kept by its distance, so no trip is compared with all nodes.
+Weighted draws invert running sums of whole weights; where distance counts, ``draws.draw``
+walks down a tree of cells. Every trip asked for is made, where the nodes allow any.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridor.functions import clock
-from corridor.functions.geo import haversine_km
-from corridor.operators.ranges import running_sums
+from corridor.operators.draws import Component, draw, uniform
+from corridor.operators.ranges import numbered, running_sums
 
 #: Morning and evening peaks, and the share of trips in them.
 PEAKS = ((25_200, 32_400), (61_200, 68_400))
@@ -21,12 +21,6 @@ ARRIVE_WORK, ARRIVE_HOME = 28_800, 61_200
 BUCKETS = 1024
 
 
-def uniform(seed: int, key: Column, draw: str) -> Column:
-    """A number in [0, 1) for a row's key and a named draw: 52 bits of a hash."""
-    text = F.concat_ws("|", F.lit(seed).cast("string"), key.cast("string"), F.lit(draw))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
-
-
 def pick(draws: DataFrame, u: str, items: DataFrame, name: str) -> DataFrame:
     """``draws`` with an item's ``node`` as ``name``, by whole weights ``w`` in the order of ``idx``: the first whose running sum is above ``u`` times all.
 
@@ -42,33 +36,38 @@ def pick(draws: DataFrame, u: str, items: DataFrame, name: str) -> DataFrame:
 
 
 def uniform_pairs(trips: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """``k, origin, destination``: any two other nodes (``node, idx``); a pair of one node is dropped."""
-    items = nodes.withColumn("w", F.lit(1))
-    rows = trips.withColumns({"_o": uniform(seed, F.col("k"), "origin"), "_d": uniform(seed, F.col("k"), "destination")})
-    return pick(pick(rows, "_o", items, "origin"), "_d", items, "destination").where("origin <> destination").select("k", "origin", "destination")
+    """``k, origin, destination``: any two different nodes (``node, idx``), for every trip where there are two.
+
+    The destination is one of the others by its place among them, so none is drawn again.
+    """
+    placed = numbered(nodes.select("node", "idx"), ["idx"], F.floor(F.col("idx") / 1000), "place").select("node", "place")
+    n = nodes.agg(F.count("*").alias("_n"))  # one row
+    rows = trips.select("k").crossJoin(F.broadcast(n)).where("_n > 1")
+    rows = rows.select("k", *(F.floor(uniform(seed, F.col("k"), d) * (F.col("_n") - less)).alias(f"_{d}") for d, less in (("origin", 0), ("destination", 1))))
+    rows = rows.withColumn("_destination", F.col("_destination") + F.when(F.col("_destination") >= F.col("_origin"), 1).otherwise(0))
+    for end in ("origin", "destination"):
+        rows = rows.join(placed.select(F.col("place").alias(f"_{end}"), F.col("node").alias(end)), f"_{end}")
+    return rows.select("k", "origin", "destination")
 
 
-def gravity_pairs(trips: DataFrame, nodes: DataFrame, seed: int, decay: float = 1.0, near: float = 0.5, far: float = 10.0, tries: int = 40) -> DataFrame:
-    """``k, origin, destination`` of nodes (``node, idx, degree, lat, lon``): origins by degree, destinations by degree over distance.
+def gravity_pairs(trips: DataFrame, nodes: DataFrame, seed: int, decay: float = 1.0, near: float = 0.5, far: float = 10.0) -> DataFrame:
+    """``k, origin, destination`` of nodes (``node, idx, degree, lat, lon``): origins by degree + 1, destinations by weight.
 
-    Beyond the bounds of distance every destination has the weight 0.01; within, its share of
-    degrees times ``1 / (d^decay + 0.1)``. One of the two is proposed by its whole mass, and kept by
-    the distance; a trip without a kept one in ``tries`` is dropped.
+    Within the bounds of distance the weight of a destination is its share of degrees times
+    ``1 / (d^decay + 0.1)``, beyond them 0.01. Every trip is placed where there are two nodes.
     """
-    items = nodes.withColumn("w", (F.col("degree") + 1).cast("bigint"))
-    rows = pick(trips.withColumn("_o", uniform(seed, F.col("k"), "origin")), "_o", items, "origin").select("k", "origin")
-    mass = nodes.agg((F.count("*") * 0.01).alias("_flat"), (F.sum(F.col("degree") + 1) / F.sum("degree") * 10).alias("_pull"))  # one row
-    spread = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("_key", F.concat_ws(".", "k", "j")).crossJoin(F.broadcast(mass))
-    spread = spread.withColumn("_by_pull", uniform(seed, F.col("_key"), "kind") * (F.col("_flat") + F.col("_pull")) < F.col("_pull")).withColumn("_d", uniform(seed, F.col("_key"), "destination"))
-    keep = ["k", "origin", "j", "_key", "_by_pull", "_d"]
-    pulled = pick(spread.where("_by_pull").select(*keep), "_d", items, "destination")
-    flat = pick(spread.where("NOT _by_pull").select(*keep), "_d", items.withColumn("w", F.lit(1)), "destination")
-    at = lambda name: nodes.select(F.col("node").alias(name), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"))
-    both = pulled.union(flat).where("origin <> destination").join(at("origin"), "origin").join(at("destination"), "destination")
-    km = haversine_km(F.col("origin_lat"), F.col("origin_lon"), F.col("destination_lat"), F.col("destination_lon"))
-    within = (F.col("_km") >= near) & (F.col("_km") <= far)
-    kept = both.withColumn("_km", km).where(F.when(F.col("_by_pull"), within & (uniform(seed, F.col("_key"), "keep") < 1 / (F.pow(F.col("_km"), F.lit(decay)) + 0.1) / 10)).otherwise(~within))
-    return kept.groupBy("k").agg(F.min(F.struct("j", "origin", "destination")).alias("b")).select("k", "b.origin", "b.destination")
+    items = nodes.select("node", "idx", "lat", "lon", "degree", (F.col("degree") + 1).cast("bigint").alias("w"))
+    rows = pick(trips.select("k").withColumn("_o", uniform(seed, F.col("k"), "origin")), "_o", items, "origin")
+    rows = rows.join(nodes.select(F.col("node").alias("origin"), "lat", "lon"), "origin")
+    rows = rows.crossJoin(F.broadcast(nodes.agg((1.0 / F.greatest(F.sum("degree"), F.lit(1))).alias("per_degree"))))  # one row
+    pull = lambda d: 1 / (F.pow(d, F.lit(decay)) + 0.1)
+    within = lambda d: (d >= near) & (d <= far)
+    parts = [
+        Component("w", F.col("per_degree"), lambda a, b: F.when((b < near) | (a > far), 0.0).otherwise(pull(F.greatest(a, F.lit(near)))), lambda d: F.when(within(d), pull(d)).otherwise(0.0)),
+        Component("one", F.lit(1.0), lambda a, b: F.when((a >= near) & (b <= far), 0.0).otherwise(0.01), lambda d: F.when(within(d), 0.0).otherwise(0.01)),
+    ]
+    found = draw(rows.select("k", "origin", "lat", "lon", "per_degree"), items.withColumn("one", F.lit(1).cast("bigint")), parts, seed)
+    return found.select("k", "origin", "destination")
 
 
 def peak_departure(seed: int, key: Column, start: int, end: int) -> Column:
@@ -101,9 +100,9 @@ def within_budget(rows: DataFrame, order: str, cost: str, budget: int) -> DataFr
 def schedule_trips(people: DataFrame, budget: int, morning: bool, start: int, end: int) -> DataFrame:
     """Trips of scheduled people (``id, home, work, school, commute_min, mode, place``) in the order of ``place``.
 
-    With a school it is two trips by it where the budget holds both, else one between home and work.
+    With a school (neither home nor work) it is two trips by it where the budget holds both, else one between home and work.
     """
-    rows = within_budget(people.withColumn("cost", F.when(F.col("school").isNotNull(), 2).otherwise(1)), "place", "cost", budget)
+    rows = within_budget(people.withColumn("cost", F.when(F.expr("school <> home AND school <> work"), 2).otherwise(1)), "place", "cost", budget)
     arrival = ARRIVE_WORK if morning else ARRIVE_HOME
     leave = clock.departure(F.col("commute_min"), start, end, arrival)
     a, b = ("home", "work") if morning else ("work", "home")
@@ -113,18 +112,47 @@ def schedule_trips(people: DataFrame, budget: int, morning: bool, start: int, en
     return rows.select("id", F.posexplode(legs).alias("leg", "x"), leave.alias("departure_time_s"), "mode").select("id", "leg", "x.*", "departure_time_s", "mode", F.lit("schedule").alias("dest_source"))
 
 
-def gaussian_pairs(people: DataFrame, nodes: DataFrame, seed: int, tries: int = 60) -> DataFrame:
-    """``id, origin, destination``: where people (``id, home, commute_min``) without a schedule go.
+def gaussian_pairs(people: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """``k, origin, destination``: where people (``k, home, commute_min``) go for whom no schedule says it.
 
-    The score of a node is (degree + 1) times a bell around half the commute in km (0.5 to 15), 0
-    within 0.1 km: proposed by degree, kept by the bell; a person without a kept one is dropped.
+    The weight of a node (``node, idx, degree, lat, lon``) is (degree + 1) times a bell around half
+    the commute in km (0.5 to 15), 0 within 0.1 km. Only who has no such node goes nowhere.
     """
-    items = nodes.withColumn("w", (F.col("degree") + 1).cast("bigint"))
-    spread = people.select("id", F.col("home").alias("origin"), F.greatest(F.lit(0.5), F.least(F.lit(15.0), F.col("commute_min") * 0.5)).alias("_goal"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("j"))
-    spread = spread.withColumn("_key", F.concat_ws(".", "id", "j")).withColumn("_d", uniform(seed, F.col("_key"), "destination"))
-    at = lambda name: nodes.select(F.col("node").alias(name), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"))
-    both = pick(spread, "_d", items, "destination").where("origin <> destination").join(at("origin"), "origin").join(at("destination"), "destination")
-    km = haversine_km(F.col("origin_lat"), F.col("origin_lon"), F.col("destination_lat"), F.col("destination_lon"))
-    bell = F.exp(F.pow((F.col("_km") - F.col("_goal")) / (F.col("_goal") * 0.7 + 0.5), F.lit(2.0)) * -0.5)
-    kept = both.withColumn("_km", km).where((F.col("_km") >= 0.1) & (uniform(seed, F.col("_key"), "keep") < bell))
-    return kept.groupBy("id").agg(F.min(F.struct("j", "origin", "destination")).alias("b")).select("id", "b.origin", "b.destination")
+    goal = F.greatest(F.lit(0.5), F.least(F.lit(15.0), F.col("commute_min") * 0.5))
+    rows = people.select("k", F.col("home").alias("origin"), goal.alias("goal")).join(nodes.select(F.col("node").alias("origin"), "lat", "lon"), "origin")
+    bell = lambda d: F.exp(F.pow((d - F.col("goal")) / (F.col("goal") * 0.7 + 0.5), F.lit(2.0)) * -0.5)
+    best = lambda a, b: bell(F.least(F.greatest(F.col("goal"), a, F.lit(0.1)), F.greatest(b, F.lit(0.1))))
+    part = Component("w", F.lit(1.0), lambda a, b: F.when(b < 0.1, 0.0).otherwise(best(a, b)), lambda d: F.when(d >= 0.1, bell(d)).otherwise(0.0))
+    items = nodes.select("node", "idx", "lat", "lon", (F.col("degree") + 1).cast("bigint").alias("w"))
+    return draw(rows.select("k", "origin", "lat", "lon", "goal"), items, [part], seed).select("k", "origin", "destination")
+
+
+def fallback_trips(people: DataFrame, nodes: DataFrame, n_am: int, n_pm: int, seed: int, start: int, end: int) -> DataFrame:
+    """``n_am + n_pm`` trips of people (``id, home, commute_min, mode, place``, homes among the nodes) drawn anew for each, so homes count by who lives there; the afternoon's go back."""
+    spark = people.sparkSession
+    trips = spark.range(n_am + n_pm).select(F.col("id").alias("k"), (F.col("id") < n_am).alias("morning"))
+    crowd = people.select(F.col("id").alias("node"), F.col("id").alias("idx"), F.lit(1).cast("bigint").alias("w"))
+    who = pick(trips.withColumn("_p", uniform(seed, F.col("k"), "person")), "_p", crowd, "id").select("k", "morning", "id")
+    rows = who.join(people.select("id", "home", "commute_min", "mode"), "id")
+    found = rows.join(gaussian_pairs(rows, nodes, seed), "k")
+    leave = lambda arrival: clock.departure(F.col("commute_min"), start, end, arrival)
+    turned = lambda a, b: F.when(F.col("morning"), F.col(a)).otherwise(F.col(b))
+    return found.select(
+        "id", "k", turned("origin", "destination").alias("origin"), turned("destination", "origin").alias("destination"), F.when(F.col("morning"), "HBW_AM").otherwise("HBW_PM").alias("purpose"),
+        F.when(F.col("morning"), leave(ARRIVE_WORK)).otherwise(leave(ARRIVE_HOME)).alias("departure_time_s"), "mode", F.lit("gravity").alias("dest_source"),
+    )
+
+
+def census_trips(people: DataFrame, nodes: DataFrame, n_am: int, n_pm: int, seed: int, start: int, end: int) -> DataFrame:
+    """All trips of both peaks: scheduled people (``work`` is not null and not ``home``) first, what the budgets leave by ``fallback_trips``."""
+    ready = people.where("work IS NOT NULL AND work <> home")
+    parts = [schedule_trips(ready, budget, morning, start, end) for budget, morning in ((n_am, True), (n_pm, False)) if budget]
+    made = [p.count() for p in parts]
+    left = [budget - n for budget, n in zip([b for b in (n_am, n_pm) if b], made)]
+    rest_am, rest_pm = (left[0] if n_am else 0), (left[-1] if n_pm else 0)
+    far = fallback_trips(people, nodes, rest_am, rest_pm, seed, start, end)
+    columns = ["origin", "destination", "purpose", "departure_time_s", "mode", "dest_source"]
+    whole = far.select(*columns)
+    for p in parts:
+        whole = whole.union(p.select(*columns))
+    return whole

@@ -21,6 +21,17 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1).replace(" , reach AS", ", reach AS")
 
 
+_COMPONENTS: dict[tuple[str, str], object] = {}
+
+
+def component(spark, sf_dir):
+    """The largest component of a folder's links; searched once a session, as many queries want it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _COMPONENTS:
+        _COMPONENTS[key] = network.largest_component(views.links(spark, sf_dir))
+    return _COMPONENTS[key]
+
+
 def _nodes(links):
     return links.select(F.col("from_node").alias("node")).union(links.select(F.col("to_node").alias("node"))).distinct()
 
@@ -222,7 +233,7 @@ def join_only_restrictions(spark, sf_dir):
 
 @query("gr_scc", _recursive(views.with_views("links", _SCC + "SELECT node FROM scc")))
 def gr_scc(spark, sf_dir):
-    return network.largest_component(views.links(spark, sf_dir))
+    return component(spark, sf_dir)
 
 
 @query(
@@ -260,7 +271,7 @@ def gr_bfs_paths(spark, sf_dir):
 )
 def flt_feasible(spark, sf_dir):
     links = views.links(spark, sf_dir)
-    found = demand.classify(views.trips(spark, sf_dir), _nodes(links), network.largest_component(links), ("car",))
+    found = demand.classify(views.trips(spark, sf_dir), _nodes(links), component(spark, sf_dir), ("car",))
     return found.groupBy("reason").agg(F.count("*").alias("trips"), F.count_distinct("trip_id").alias("ids"))
 
 

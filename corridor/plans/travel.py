@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from corridor import views
 from corridor.functions import roads
-from corridor.operators import demand, generate, network, ranges
+from corridor.operators import demand, draws, generate, network, ranges
 from corridor.operators.statistics import rounded
-from corridor.plans.networks import _SCC, _recursive
+from corridor.plans.networks import _SCC, _recursive, component
 from corridor.registry import query
 
 _MOVES = "CASE WHEN link_pos % 2 = 0 THEN 'no_left_turn' ELSE 'only_straight_on' END"
@@ -44,7 +44,7 @@ def gr_routes(spark, sf_dir):
 def gr_routes_scenario(spark, sf_dir):
     links = views.links(spark, sf_dir)
     nodes = links.select(F.col("from_node").alias("node")).union(links.select(F.col("to_node").alias("node"))).distinct()
-    feasible = demand.classify(views.trips(spark, sf_dir), nodes, network.largest_component(links), ("car",)).where("reason = 'feasible'")
+    feasible = demand.classify(views.trips(spark, sf_dir), nodes, component(spark, sf_dir), ("car",)).where("reason = 'feasible'")
     return _texts(network.routes(links, feasible.select("trip_id", "origin", "destination"), _forbidden(spark, sf_dir)))
 
 
@@ -78,7 +78,7 @@ for _name in ("gr_bfs_sumo", "topk_unroutable"):
 
 #: The largest component and what hangs on it.
 def _scc_query(name, sql, build):
-    query(name, _recursive(views.with_views("links trips", _SCC + sql)))(lambda spark, sf_dir: build(views.links(spark, sf_dir), network.largest_component(views.links(spark, sf_dir))))
+    query(name, _recursive(views.with_views("links trips", _SCC + sql)))(lambda spark, sf_dir: build(views.links(spark, sf_dir), component(spark, sf_dir)))
 
 
 def _within(links, nodes):
@@ -237,23 +237,38 @@ def _nodes(spark, sf_dir):
     return views.table(spark, sf_dir, "customer").selectExpr("'n' || c_custkey AS node", "CAST(c_custkey AS BIGINT) AS idx", "CAST(c_custkey % 5 + 1 AS BIGINT) AS degree", "40 + (c_custkey * 37 % 1000) / 10000.0D AS lat", "-80 + (c_custkey * 91 % 1000) / 10000.0D AS lon")
 
 
-def _keys(spark, n):
-    return spark.range(n).withColumnRenamed("id", "k")
+#: Places that trips go between: the largest component's nodes with their degrees.
+_PLACES = (
+    ", deg AS (SELECT node, count(*) AS degree FROM (SELECT from_node AS node FROM links UNION ALL SELECT to_node FROM links) GROUP BY node), num AS (SELECT node, CAST(substr(node, 2) AS BIGINT) AS idx, degree FROM scc JOIN deg USING (node)), "
+    "places AS (SELECT node, idx, degree, 40 + (idx * 37 % 1000) / 10000.0::DOUBLE AS lat, -80 + (idx * 91 % 1000) / 10000.0::DOUBLE AS lon, degree + 1 AS m0, 1 AS m1, row_number() OVER (ORDER BY idx) - 1 AS pos, count(*) OVER () AS n FROM num)"
+)
+
+
+def _places(spark, sf_dir):
+    rows = component(spark, sf_dir).join(network.degree(views.links(spark, sf_dir)), "node").withColumn("idx", F.substring("node", 2, 20).cast("long"))
+    return rows.selectExpr("node", "idx", "degree", "40 + (idx * 37 % 1000) / 10000.0D AS lat", "-80 + (idx * 91 % 1000) / 10000.0D AS lon")
+
+
+def _placed_sql(select):
+    return _recursive(views.with_views("links", _SCC + _PLACES + select)).replace(" , deg AS", ", deg AS")
+
+
+def _order_keys(spark, sf_dir):
+    """A trip an order."""
+    return views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
 
 
-_FLAT = "flat AS (SELECT node, idx - 1 AS lo, idx AS hi, count(*) OVER () AS total FROM (SELECT node, row_number() OVER (ORDER BY idx) AS idx FROM nodes))"
-_PULL = "pull AS (SELECT node, sum(degree + 1) OVER (ORDER BY idx) - (degree + 1) AS lo, sum(degree + 1) OVER (ORDER BY idx) AS hi, sum(degree + 1) OVER () AS total FROM nodes)"
-_HIT = "floor({u} * {t}.total) >= {t}.lo AND floor({u} * {t}.total) < {t}.hi"
 _UNIFORM = (
-    f"WITH {_NODES}, {_FLAT}, keys AS (SELECT k FROM range(0, 800) t(k)), pr AS (SELECT k, a.node AS origin, b.node AS destination FROM keys JOIN flat a ON {_HIT.format(u=_u('k', 'origin'), t='a')} JOIN flat b ON {_HIT.format(u=_u('k', 'destination'), t='b')} WHERE a.node <> b.node) "
+    f", keys AS (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders), ends2 AS (SELECT k, floor({_u('k', 'origin')} * n) AS o, floor({_u('k', 'destination')} * (n - 1)) AS d FROM keys, (SELECT count(*) AS n FROM places) WHERE n > 1), "
+    "pr AS (SELECT k, a.node AS origin, b.node AS destination FROM ends2 JOIN places a ON a.pos = o JOIN places b ON b.pos = CASE WHEN d >= o THEN d + 1 ELSE d END) "
 )
 
 
 for _name in ("gen_uniform_od", "gen_peak_od"):
 
-    @query(_name, _UNIFORM + "SELECT k, origin, destination FROM pr")
+    @query(_name, _placed_sql(_UNIFORM + "SELECT k, origin, destination FROM pr"))
     def _uniform(spark, sf_dir):
-        return generate.uniform_pairs(_keys(spark, 800), _nodes(spark, sf_dir), 42)
+        return generate.uniform_pairs(_order_keys(spark, sf_dir), _places(spark, sf_dir), 42)
 
 
 @query("gen_gravity_init", f"WITH {_NODES} SELECT node, round((degree + 1) / (SELECT sum(degree) FROM nodes), 12) AS weight FROM nodes")
@@ -262,22 +277,25 @@ def gen_gravity_init(spark, sf_dir):
     return nodes.crossJoin(F.broadcast(nodes.agg(F.sum("degree").alias("s")))).select("node", F.round((F.col("degree") + 1) / F.col("s"), 12).alias("weight"))
 
 
-_KM = "12742.0::DOUBLE * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
-_KIND = _u("k || '.' || j", "kind")
+_PULL_SQL = "1 / (pow({}, 1.0::DOUBLE) + 0.1::DOUBLE)"
 _GRAVITY = (
-    f"WITH {_NODES}, {_FLAT}, {_PULL}, mass AS (SELECT count(*) * 0.01::DOUBLE AS fl, sum(degree + 1) / sum(degree) * 10 AS pu FROM nodes), keys AS (SELECT k FROM range(0, 200) t(k)), "
-    f"og AS (SELECT k, pull.node AS origin FROM keys JOIN pull ON {_HIT.format(u=_u('k', 'origin'), t='pull')}), "
-    f"sp AS (SELECT k, origin, j, k || '.' || j AS key, {_KIND} * (fl + pu) < pu AS by_pull FROM og, range(0, 40) t(j), mass), "
-    f"ds AS (SELECT sp.*, pull.node AS destination FROM sp JOIN pull ON {_HIT.format(u=_u('key', 'destination'), t='pull')} WHERE by_pull UNION ALL SELECT sp.*, flat.node FROM sp JOIN flat ON {_HIT.format(u=_u('key', 'destination'), t='flat')} WHERE NOT by_pull), "
-    f"km AS (SELECT ds.*, {_KM} AS d FROM ds JOIN nodes a ON origin = a.node JOIN nodes b ON destination = b.node WHERE origin <> destination), "
-    f"ok AS (SELECT * FROM km WHERE CASE WHEN by_pull THEN d BETWEEN 0.5 AND 10 AND {_u('key', 'keep')} < 1 / (d + 0.1) / 10 ELSE NOT d BETWEEN 0.5 AND 10 END) "
-    "SELECT k, arg_min(origin, (j, origin, destination)) AS origin, arg_min(destination, (j, origin, destination)) AS destination FROM ok GROUP BY k"
+    f", keys AS (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer), pull AS (SELECT node, lat, lon, sum(m0) OVER (ORDER BY idx) - m0 AS lo, sum(m0) OVER (ORDER BY idx) AS hi, sum(m0) OVER () AS total FROM places), "
+    f"draws AS (SELECT k, node AS origin, lat, lon, (SELECT 1.0::DOUBLE / greatest(sum(degree), 1) FROM places) AS per_degree FROM keys JOIN pull ON floor({_u('k', 'origin')} * total) >= lo AND floor({_u('k', 'origin')} * total) < hi), "
+    + draws.sql(
+        ["k", "origin", "lat", "lon", "per_degree"],
+        ["CASE WHEN {far} < 0.5 OR {near} > 10 THEN 0 ELSE " + _PULL_SQL.format("greatest({near}, 0.5)") + " END", "CASE WHEN {near} >= 0.5 AND {far} <= 10 THEN 0 ELSE 0.01::DOUBLE END"],
+        ["CASE WHEN km BETWEEN 0.5 AND 10 THEN " + _PULL_SQL.format("km") + " ELSE 0 END", "CASE WHEN km BETWEEN 0.5 AND 10 THEN 0 ELSE 0.01::DOUBLE END"],
+        ["per_degree", "1.0::DOUBLE"],
+        _u,
+    )
+    + " SELECT k, origin, destination FROM walk WHERE destination IS NOT NULL"
 )
 
 
-@query("gen_gravity_od", _GRAVITY)
+@query("gen_gravity_od", _placed_sql(_GRAVITY))
 def gen_gravity_od(spark, sf_dir):
-    return generate.gravity_pairs(_keys(spark, 200), _nodes(spark, sf_dir), 42)
+    keys = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    return generate.gravity_pairs(keys, _places(spark, sf_dir), 42)
 
 
 _LEAVE = (
@@ -285,16 +303,16 @@ _LEAVE = (
 )
 
 
-@query("gen_peak_departure", f"SELECT k, {_LEAVE} AS departure_time_s FROM range(0, 2000) t(k)")
+@query("gen_peak_departure", f"SELECT k, {_LEAVE} AS departure_time_s FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders)")
 def gen_peak_departure(spark, sf_dir):
-    return _keys(spark, 2000).select("k", generate.peak_departure(42, F.col("k"), 20_000, 65_000).alias("departure_time_s"))
+    return _order_keys(spark, sf_dir).select("k", generate.peak_departure(42, F.col("k"), 20_000, 65_000).alias("departure_time_s"))
 
 
 for _name in ("gen_trips", "gen_synthetic"):
 
-    @query(_name, _UNIFORM + f", dp AS (SELECT *, {_LEAVE} AS departure_time_s FROM pr) SELECT 't' || (row_number() OVER (ORDER BY departure_time_s, k) - 1) AS trip_id, origin, destination, departure_time_s, 'car' AS mode FROM dp".replace("FROM pr) SELECT", "FROM pr) SELECT", 1))
+    @query(_name, _placed_sql(_UNIFORM + f", dp AS (SELECT *, {_LEAVE} AS departure_time_s FROM pr) SELECT 't' || (row_number() OVER (ORDER BY departure_time_s, k) - 1) AS trip_id, origin, destination, departure_time_s, 'car' AS mode FROM dp"))
     def _trips(spark, sf_dir):
-        pairs = generate.uniform_pairs(_keys(spark, 800), _nodes(spark, sf_dir), 42).withColumn("departure_time_s", generate.peak_departure(42, F.col("k"), 20_000, 65_000))
+        pairs = generate.uniform_pairs(_order_keys(spark, sf_dir), _places(spark, sf_dir), 42).withColumn("departure_time_s", generate.peak_departure(42, F.col("k"), 20_000, 65_000))
         found = ranges.numbered(pairs, ["departure_time_s", "k"], F.col("departure_time_s"), "n")
         return found.select(F.concat(F.lit("t"), "n").alias("trip_id"), "origin", "destination", "departure_time_s", F.lit("car").alias("mode"))
 
@@ -306,19 +324,19 @@ def gen_peak_split(spark, sf_dir):
 
 
 #: Scheduled people: customers with a home, a work place, some with a school.
-_PEOPLE = ["CAST(c_custkey AS BIGINT) AS id", "'n' || c_custkey AS home", "'n' || (c_custkey % 300 + 1) AS work", "CASE WHEN c_custkey % 4 = 0 THEN 'n' || (c_custkey % 40 + 1) END AS school", "CAST(c_custkey % 80 AS INT) AS commute_min", "'car' AS mode", "CAST(c_custkey * 7919 % 100003 AS BIGINT) AS place"]
+_PEOPLE = ["CAST(c_custkey AS BIGINT) AS id", "'n' || c_custkey AS home", "'n' || (c_custkey % 300 + 1) AS work", "CASE WHEN c_custkey % 4 = 0 THEN 'n' || (c_custkey % 40 + 1) END AS school", "CAST(c_custkey % 80 AS INT) AS commute_min", "'car' AS mode", "CAST(c_custkey * 7919 % 100003 AS BIGINT) * 100000000 + c_custkey AS place"]
 
 
 def _people(spark, sf_dir):
     return views.table(spark, sf_dir, "customer").selectExpr(*_PEOPLE)
 
 
-_BUDGET = f"pp AS (SELECT {', '.join(_PEOPLE)} FROM customer), bg AS (SELECT *, CASE WHEN school IS NULL THEN 1 ELSE 2 END AS cost, coalesce(sum(CASE WHEN school IS NULL THEN 1 ELSE 2 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM pp), gr AS (SELECT *, CAST(CASE WHEN prior + cost <= 100 THEN cost ELSE 1 END AS INTEGER) AS granted FROM bg WHERE prior < 100)"
+_BUDGET = f"pp AS (SELECT {', '.join(_PEOPLE)} FROM customer), bg AS (SELECT *, CASE WHEN school <> home AND school <> work THEN 2 ELSE 1 END AS cost, coalesce(sum(CASE WHEN school <> home AND school <> work THEN 2 ELSE 1 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM pp), gr AS (SELECT *, CAST(CASE WHEN prior + cost <= 100 THEN cost ELSE 1 END AS INTEGER) AS granted FROM bg WHERE prior < 100)"
 
 
 @query("lim_budget", f"WITH {_BUDGET} SELECT id, granted FROM gr")
 def lim_budget(spark, sf_dir):
-    rows = _people(spark, sf_dir).withColumn("cost", F.when(F.col("school").isNotNull(), 2).otherwise(1))
+    rows = _people(spark, sf_dir).withColumn("cost", F.when(F.expr("school <> home AND school <> work"), 2).otherwise(1))
     return generate.within_budget(rows, "place", "cost", 100).select("id", F.col("granted").cast("int").alias("granted"))
 
 
@@ -338,28 +356,73 @@ def gen_schedule_pm(spark, sf_dir):
     return generate.schedule_trips(_people(spark, sf_dir), 100, False, 21_600, 80_000)
 
 
-_BELL = (
-    f"WITH {_NODES}, {_PULL}, pp AS (SELECT {', '.join(_PEOPLE)} FROM customer), sp AS (SELECT id, home AS origin, greatest(0.5, least(15.0, commute_min * 0.5))::DOUBLE AS t, j, id || '.' || j AS key FROM pp, range(0, 60) t(j) WHERE id % 10 = 3), "
-    f"ds AS (SELECT sp.*, pull.node AS destination FROM sp JOIN pull ON {_HIT.format(u=_u('key', 'destination'), t='pull')}), km AS (SELECT ds.*, {_KM} AS d FROM ds JOIN nodes a ON origin = a.node JOIN nodes b ON destination = b.node WHERE origin <> destination), "
-    f"ok AS (SELECT * FROM km WHERE d >= 0.1 AND {_u('key', 'keep')} < exp(-0.5 * pow((d - t) / (t * 0.7 + 0.5), 2))), gf AS (SELECT id, arg_min(origin, (j, origin, destination)) AS origin, arg_min(destination, (j, origin, destination)) AS destination FROM ok GROUP BY id) "
+#: People who live, work and go to school at places; every ninth has no work place, so no schedule.
+_CROWD = ["CAST(c_custkey AS BIGINT) AS id", "c_custkey % 9 <> 1 AS works", "c_custkey % 4 = 0 AS parent", "CAST(c_custkey % 80 AS INT) AS commute_min", "CASE WHEN c_custkey % 3 = 0 THEN 'bike' ELSE 'car' END AS mode", "CAST(c_custkey * 7919 % 100003 AS BIGINT) * 100000000 + c_custkey AS place"]
+_CROWD_SQL = (
+    f", pp AS (SELECT c.*, h.node AS home, CASE WHEN works THEN w.node END AS work, CASE WHEN parent THEN s.node END AS school FROM (SELECT {', '.join(_CROWD)} FROM customer) c "
+    "JOIN places h ON h.pos = c.id % h.n JOIN places w ON w.pos = c.id * 7 % w.n JOIN places s ON s.pos = c.id * 3 % s.n)"
 )
 
 
-@query("gen_gravity_fallback", _BELL + "SELECT id, origin, destination FROM gf")
+def _crowd(spark, sf_dir):
+    placed = ranges.numbered(_places(spark, sf_dir).select("node", "idx"), ["idx"], F.floor(F.col("idx") / 1000), "pos")
+    rows = views.table(spark, sf_dir, "customer").selectExpr(*_CROWD).crossJoin(F.broadcast(placed.agg(F.count("*").alias("n"))))  # one row
+    for name, times in (("home", 1), ("work", 7), ("school", 3)):
+        rows = rows.withColumn("pos", F.col("id") * times % F.col("n")).join(placed.select("pos", F.col("node").alias(name)), "pos")
+    return rows.select("id", "home", F.when(F.col("works"), F.col("work")).alias("work"), F.when(F.col("parent"), F.col("school")).alias("school"), "commute_min", "mode", "place")
+
+
+def _fallback_sql(am, pm):
+    """Drawn trips of ``am`` mornings and ``pm`` afternoons."""
+    bell = "exp(pow(({0} - goal) / (goal * 0.7::DOUBLE + 0.5::DOUBLE), 2.0::DOUBLE) * -0.5::DOUBLE)"
+    leave = "CAST(greatest(21600, least(79999, {} - commute_min * 60)) AS INTEGER)"
+    return (
+        f", want AS (SELECT {am} AS am, {pm} AS pm), ks AS (SELECT k, k < am AS morning FROM (SELECT am, unnest(range(0, am + pm)) AS k FROM want)), rk AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS spot, count(*) OVER () AS crowd FROM pp), "
+        f"who AS (SELECT k, morning, rk.* FROM ks JOIN rk ON spot = floor({_u('k', 'person')} * crowd)), draws AS (SELECT k, home AS origin, lat, lon, greatest(0.5::DOUBLE, least(15.0::DOUBLE, commute_min * 0.5::DOUBLE)) AS goal FROM who JOIN places ON node = home), "
+        + draws.sql(
+            ["k", "origin", "lat", "lon", "goal"],
+            ["CASE WHEN {far} < 0.1 THEN 0 ELSE " + bell.format("least(greatest(goal, {near}, 0.1), greatest({far}, 0.1))") + " END", "0.0::DOUBLE"],
+            ["CASE WHEN km >= 0.1 THEN " + bell.format("km") + " ELSE 0 END", "0.0::DOUBLE"],
+            ["1.0::DOUBLE", "1.0::DOUBLE"],
+            _u,
+        )
+        + ", gf AS (SELECT id, k, CASE WHEN morning THEN origin ELSE destination END AS origin, CASE WHEN morning THEN destination ELSE origin END AS destination, CASE WHEN morning THEN 'HBW_AM' ELSE 'HBW_PM' END AS purpose, "
+        f"CASE WHEN morning THEN {leave.format(28_800)} ELSE {leave.format(61_200)} END AS departure_time_s, mode, 'gravity' AS dest_source FROM walk JOIN who USING (k) WHERE destination IS NOT NULL) "
+    )
+
+
+@query("gen_gravity_fallback", _placed_sql(_CROWD_SQL + _fallback_sql("(SELECT count(*) // 2 FROM customer)", "(SELECT count(*) - count(*) // 2 FROM customer)") + "SELECT * FROM gf"))
 def gen_gravity_fallback(spark, sf_dir):
-    return generate.gaussian_pairs(_people(spark, sf_dir).where("id % 10 = 3"), _nodes(spark, sf_dir), 42)
+    n = views.table(spark, sf_dir, "customer").count()
+    return generate.fallback_trips(_crowd(spark, sf_dir), _places(spark, sf_dir), n // 2, n - n // 2, 42, 21_600, 80_000)
 
 
-@query("gen_census")  # no SQL of its own: its parts are gen_schedule_am, gen_schedule_pm and gen_gravity_fallback
+def _leg_sql(budget, morning):
+    """Trips of scheduled people within a budget."""
+    a, b = ("home", "work") if morning else ("work", "home")
+    plain, first, second = ("HBW_AM", "HBSchool_AM", "HBW_AM_chained") if morning else ("HBW_PM", "HBW_PM_chained", "HBSchool_PM")
+    t = "am" if morning else "pm"
+    leave = f"CAST(greatest(21600, least(79999, {28_800 if morning else 61_200} - commute_min * 60)) AS INTEGER)"
+    row = lambda o, d, p, g: f"SELECT {o} AS origin, {d} AS destination, '{p}' AS purpose, {leave} AS departure_time_s, mode, 'schedule' AS dest_source FROM g{t} WHERE granted {g}"
+    return (
+        f", r{t} AS (SELECT *, cost + coalesce(sum(cost) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM (SELECT *, CASE WHEN school <> home AND school <> work THEN 2 ELSE 1 END AS cost FROM pp WHERE work <> home)), "
+        f"g{t} AS (SELECT *, CASE WHEN upto <= {budget} THEN cost ELSE 1 END AS granted FROM r{t} WHERE upto - cost < {budget}), s{t} AS ({row(a, b, plain, '= 1')} UNION ALL {row(a, 'school', first, '= 2')} UNION ALL {row('school', b, second, '= 2')})"
+    )
+
+
+_HALVES = ("(SELECT count(*) * 3 // 2 FROM customer)", "(SELECT count(*) * 3 - count(*) * 3 // 2 FROM customer)")
+
+
+@query(
+    "gen_census",
+    _placed_sql(
+        _CROWD_SQL + _leg_sql(_HALVES[0], True) + _leg_sql(_HALVES[1], False) + _fallback_sql(f"greatest(0, {_HALVES[0]} - (SELECT count(*) FROM sam))", f"greatest(0, {_HALVES[1]} - (SELECT count(*) FROM spm))")
+        + "SELECT * FROM sam UNION ALL SELECT * FROM spm UNION ALL SELECT origin, destination, purpose, departure_time_s, mode, dest_source FROM gf"
+    ),
+)
 def gen_census(spark, sf_dir):
-    people = _people(spark, sf_dir)
-    scheduled = people.where("id % 10 <> 3")
-    am, pm = (generate.schedule_trips(scheduled, 100, morning, 21_600, 80_000) for morning in (True, False))
-    rest = generate.gaussian_pairs(people.where("id % 10 = 3"), _nodes(spark, sf_dir), 42).join(people.select("id", "commute_min", "mode"), "id")
-    from corridor.functions.clock import departure
-
-    far = rest.select("id", F.lit(0).alias("leg"), "origin", "destination", F.lit("HBW_AM").alias("purpose"), departure(F.col("commute_min"), 21_600, 80_000).alias("departure_time_s"), "mode", F.lit("gravity").alias("dest_source"))
-    return am.unionByName(pm).unionByName(far).where("origin <> destination")
+    n = 3 * views.table(spark, sf_dir, "customer").count()
+    return generate.census_trips(_crowd(spark, sf_dir), _places(spark, sf_dir), n // 2, n - n // 2, 42, 21_600, 80_000)
 
 
 @query("gen_school_array", f"WITH {_NODES} SELECT node, lat, lon FROM nodes WHERE idx % 6 IN (0, 4)")
