@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corridor.session import materialise
+
 BINS = 1024
 
 
@@ -32,20 +34,29 @@ def running_sums(rows: DataFrame, keys: list[str], value: str, sums: list[str],
     return inner.select(*rows.columns, *((F.col(f"{s}_upto") + F.col(f"_{s}")).alias(f"{s}_upto") for s in sums))
 
 
-def value_at(counts: DataFrame, keys: list[str], value: str, weight: str, index: str, levels: int = 2, bins: int = BINS) -> DataFrame:
-    """The rows of ``counts`` (one a value, ``index`` alike in a group) that hold the ``index``-th unit of ``weight`` by ``value``.
+def value_at(counts: DataFrame, keys: list[str], value: str, weight: str, index: Column, levels: int = 2, bins: int = BINS) -> DataFrame:
+    """``keys, n, value`` of each group: its weight, and the value that holds the ``index``-th unit of it; ``index`` is of ``n``.
 
-    Each level keeps the one bin of a group that holds the index; only what is left is sorted.
+    ``counts`` (one row a value) is written once. A level is one sum over it: of the group's
+    range of values, cut into equal steps, the step that holds the index is the next range, as
+    narrow as its values. What is left after the levels alone is sorted.
     """
-    rows = counts.withColumn("_at", F.col(index))
+    rows = materialise(counts.select(*keys, F.col(value).alias("_x"), F.col(weight).cast("long").alias("_w")), "counts")
+    state = rows.groupBy(*keys).agg(F.sum("_w").alias("n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).where("n > 0").withColumn("_at", index.cast("long"))
+    by = W.partitionBy(*keys)
+
+    def held() -> DataFrame:
+        both = rows.join(state, keys) if keys else rows.crossJoin(F.broadcast(state))  # one row
+        return both.where("_x BETWEEN _lo AND _hi")
+
     for _ in range(levels):
-        cut = binned(rows, keys, value, bins)
-        sums = cut.groupBy(*keys, "_bin").agg(F.sum(weight).alias("_w"), F.first("_at").alias("_at"))
-        upto = F.sum("_w").over(W.partitionBy(*keys).orderBy("_bin"))
-        held = sums.withColumn("_upto", upto).where("_upto > _at AND _upto - _w <= _at").select(*keys, "_bin", (F.col("_at") - F.col("_upto") + F.col("_w")).alias("_next"))
-        rows = cut.join(held, [*keys, "_bin"]).withColumn("_at", F.col("_next")).drop("_bin", "_next")
-    upto = F.sum(weight).over(W.partitionBy(*keys).orderBy(value))
-    return rows.withColumn("_upto", upto).where(f"_upto > _at AND _upto - {weight} <= _at").select(*counts.columns)
+        step = F.floor(F.try_divide(F.col("_x").cast("double") - F.col("_lo"), F.col("_hi").cast("double") - F.col("_lo")) * bins)
+        cut = held().withColumn("_bin", F.coalesce(F.least(step, F.lit(bins - 1)), F.lit(0)).cast("int"))
+        sums = cut.groupBy(*keys, "n", "_at", "_bin").agg(F.sum("_w").alias("_w"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        upto = sums.withColumn("_upto", F.sum("_w").over(by.orderBy("_bin")))  # at most `bins` rows a group
+        state = materialise(upto.where("_upto > _at AND _upto - _w <= _at").select(*keys, "n", "_lo", "_hi", (F.col("_at") - F.col("_upto") + F.col("_w")).alias("_at")), "held")
+    last = held().withColumn("_upto", F.sum("_w").over(by.orderBy("_x")))
+    return last.where("_upto > _at AND _upto - _w <= _at").select(*keys, "n", F.col("_x").alias(value))
 
 
 def with_next(rows: DataFrame, value: str, order: list[str], of: Column, name: str = "next") -> DataFrame:

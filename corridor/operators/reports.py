@@ -68,7 +68,8 @@ def quartiles(values: DataFrame, keys: list[str], value: str, shares: tuple[floa
     """Count and quantiles of each group, linear between neighbours. Values are counted and ordered by ranges."""
     counts = values.groupBy(*keys, F.col(value).alias("x")).agg(F.count("*").alias("w"))
     totals = counts.groupBy(*keys).agg(F.sum("w").alias("n"))
-    run = running_sums(counts, keys, "x", ["w"]).join(totals, keys)
+    sums = running_sums(counts, keys, "x", ["w"])
+    run = sums.join(totals, keys) if keys else sums.crossJoin(F.broadcast(totals))  # one row
     place = lambda q: (F.col("n") - 1) * q
     at = lambda k: F.max(F.when((F.col("w_upto") > k) & (F.col("w_upto") - F.col("w") <= k), F.col("x")))
     parts = [p for i, q in enumerate(shares) for p in (at(F.floor(place(q))).alias(f"lo{i}"), at(F.ceil(place(q))).alias(f"hi{i}"))]

@@ -93,13 +93,9 @@ def floor_percentile(values: DataFrame, keys: list[str], value: str, percent: in
     range that holds the index is sorted.
     """
     w = F.col(weight) if weight else F.lit(1)
-    keys = keys or ["_all"]
-    rows = values.withColumn("_all", F.lit(0)) if keys == ["_all"] else values
-    counts = rows.groupBy(*keys, F.col(value).alias("x")).agg(F.sum(w).cast("long").alias("w")).where("w > 0")
-    totals = counts.groupBy(*keys).agg(F.sum("w").alias("n"))
+    counts = values.groupBy(*keys, F.col(value).alias("p")).agg(F.sum(w).cast("long").alias("w")).where("w > 0")
     index = F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1) if of_n else F.floor((F.col("n") - 1) * percent / 100)
-    held = value_at(counts.join(totals, keys).withColumn("at", index), keys, "x", "w", "at")
-    return held.select(*keys, "n", F.col("x").alias("p")).drop("_all")
+    return value_at(counts, keys, "p", "w", index).select(*keys, "n", "p")
 
 
 def summary_by_engine(cells: DataFrame) -> DataFrame:
@@ -161,7 +157,8 @@ def weighted_trips(agents: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("n").alias("trip_count"), F.coalesce(F.sum(done), F.lit(0)).alias("completed"), mean("tt").alias("mean_tt"), mean("distance").alias("mean_distance")
     )
     p95 = floor_percentile(rows.where("tt > 0"), keys, "tt", weight="n").select(*keys, F.col("p").alias("p95_tt"))
-    return base.join(p95, keys, "left").withColumn("p95_tt", F.coalesce("p95_tt", F.lit(0.0)))
+    joined = base.join(p95, keys, "left") if keys else base.join(F.broadcast(p95), how="left")  # one row each
+    return joined.withColumn("p95_tt", F.coalesce("p95_tt", F.lit(0.0)))
 
 
 def coverage_gap(runs: DataFrame) -> DataFrame:

@@ -245,18 +245,19 @@ def agg_scalability_cells(spark, sf_dir):
     return rounded(good.groupBy(*CELL).agg(F.avg("runtime_s").alias("runtime"), F.avg("trip_count").alias("trips")))
 
 
-#: Few runs a cell, so that thin and failed cells occur.
-_FEW = "tt_mean > 0 AND floor(tt_mean) % 499 = 0 AND NOT (scenario = 'R' AND mode = 'meso' AND status = 'success')"
+#: Scenarios so fine that a cell has few runs: thin and failed cells occur.
+_FINE = "scenario || '_' || seed || '_' || trip_count % 2000"
+
 
 def _by_seed(rows):
-    return rows.withColumn("scenario", F.concat_ws("_", "scenario", "seed"))
+    return rows.withColumn("scenario", F.concat_ws("_", "scenario", "seed", F.col("trip_count") % 2000))
 
 
-_SEEDED = f"WITH {views.SQL['runs'].replace('runs AS', 'all_runs AS')}, runs AS (SELECT * REPLACE (scenario || '_' || seed AS scenario) FROM all_runs WHERE {_FEW}), {_CELLS} "
+_SEEDED = f"WITH {views.SQL['runs'].replace('runs AS', 'all_runs AS')}, runs AS (SELECT * REPLACE ({_FINE} AS scenario) FROM all_runs), {_CELLS} "
 
 
 def _thin(spark, sf_dir):
-    return statistics.cell_stats(_by_seed(_runs(spark, sf_dir).where(_FEW)))
+    return statistics.cell_stats(_by_seed(_runs(spark, sf_dir)))
 
 
 @query("flt_thin_cells", _SEEDED + "SELECT scenario, engine, mode, successes FROM cells WHERE successes > 0 AND successes < 3")

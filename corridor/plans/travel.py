@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corridor import views
@@ -10,6 +12,8 @@ from corridor.operators import demand, draws, generate, network, ranges
 from corridor.operators.statistics import rounded
 from corridor.plans.networks import _SCC, _recursive, component
 from corridor.registry import query
+from corridor.session import shared_dir
+from corridor.sources import runspec
 
 _MOVES = "CASE WHEN link_pos % 2 = 0 THEN 'no_left_turn' ELSE 'only_straight_on' END"
 
@@ -120,13 +124,13 @@ def agg_dest_counts(spark, sf_dir):
 
 
 #: Trip records of an engine: some name their origin, some leave it to the demand.
-_RECORDS = ", rec AS (SELECT trip_id, CASE WHEN departure_time_s % 3 = 0 THEN origin END AS own, CAST(departure_time_s % 1000 AS DOUBLE) AS duration, CAST(departure_time_s % 77 AS DOUBLE) AS distance FROM trips WHERE departure_time_s % 2 = 0), dm AS (SELECT trip_id, origin FROM trips WHERE departure_time_s % 5 <> 0) "
+_RECORDS = ", rec AS (SELECT trip_id, CASE WHEN departure_time_s % 3 = 0 THEN origin END AS own, CAST(departure_time_s % 1000 AS DOUBLE) AS duration, CAST(departure_time_s % 77 AS DOUBLE) AS distance FROM trips), dm AS (SELECT trip_id, CASE WHEN departure_time_s % 5 <> 0 THEN origin END AS origin FROM trips) "
 
 
 def _records(spark, sf_dir):
     trips = views.trips(spark, sf_dir)
-    rows = trips.where("departure_time_s % 2 = 0").selectExpr("trip_id", "CASE WHEN departure_time_s % 3 = 0 THEN origin END AS own", "CAST(departure_time_s % 1000 AS DOUBLE) AS duration", "CAST(departure_time_s % 77 AS DOUBLE) AS distance")
-    looked = trips.where("departure_time_s % 5 <> 0").select("trip_id", "origin")
+    rows = trips.selectExpr("trip_id", "CASE WHEN departure_time_s % 3 = 0 THEN origin END AS own", "CAST(departure_time_s % 1000 AS DOUBLE) AS duration", "CAST(departure_time_s % 77 AS DOUBLE) AS distance")
+    looked = trips.selectExpr("trip_id", "CASE WHEN departure_time_s % 5 <> 0 THEN origin END AS origin")
     return rows.join(looked, "trip_id", "left").withColumn("origin", F.coalesce("own", "origin")).where("origin IS NOT NULL")
 
 
@@ -491,20 +495,35 @@ def agg_cache_key(spark, sf_dir):
     return views.trips(spark, sf_dir).groupBy("mode").agg(F.sha2(F.concat_ws(":", F.count("*"), F.sum(own)), 256).alias("key"))
 
 
-_SPEC = [("city_1k", "sumo", "mesoscopic", 3, 42), ("city_1k", "matsim", "mesoscopic", 2, 42), ("city_10k", "sumo", "microscopic", 2, 7)]
+#: Plans of the runs: a cell's repeats are its seeds.
+_PLAN = views.with_views("runs", ", pl AS (SELECT scenario, CASE engine WHEN 'F' THEN 'sumo' ELSE 'matsim' END AS engine, mode, count(DISTINCT seed) AS repeats, min(seed) AS seed FROM runs GROUP BY ALL) SELECT scenario, engine, mode, CAST(seed + i AS INTEGER) AS seed FROM pl, (SELECT unnest(range(0, (SELECT max(repeats) FROM pl))) AS i) WHERE i < repeats").replace(" , pl AS", ", pl AS")
+
+
+def _plan(spark, sf_dir):
+    engine = F.when(F.col("engine") == "F", "sumo").otherwise("matsim")
+    mode = F.when(F.col("mode") == "meso", "mesoscopic").otherwise("microscopic")
+    by = views.runs(spark, sf_dir).groupBy("scenario", engine.alias("engine"), mode.alias("mode"))
+    return by.agg(F.count_distinct("seed").cast("int").alias("repeats"), F.min("seed").cast("int").alias("seed"))
 
 
-for _name in ("src_runspec", "src_runspec_dict"):
+@query("src_runspec", _PLAN)
+def src_runspec(spark, sf_dir):
+    path = f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
+    _plan(spark, sf_dir).write.json(path)
+    return runspec.read(spark, path)
 
-    @query(_name, "SELECT scenario, engine, mode, seed + i AS seed FROM (VALUES ('city_1k', 'sumo', 'meso', 3, 42), ('city_1k', 'matsim', 'meso', 2, 42), ('city_10k', 'sumo', 'micro', 2, 7)) v(scenario, engine, mode, n, seed), (SELECT CAST(range AS INTEGER) AS i FROM range(0, 10)) WHERE i < n")
-    def _runspec(spark, sf_dir):
-        from corridor.sources.runspec import matrix
 
-        return matrix(spark, {"scenarios": [dict(zip(("scenario", "engine", "mode", "repeats", "seed"), row)) for row in _SPEC]})
+@query("src_runspec_dict", _PLAN)
+def src_runspec_dict(spark, sf_dir):
+    return runspec.matrix(spark, {"scenarios": [r.asDict() for r in _plan(spark, sf_dir).collect()]})  # a row a cell
 
 
-@query("src_city_bbox", "SELECT 'chicago' AS city, 41.9 AS north, 41.8 AS south, -87.6 AS east, -87.7 AS west".replace("41.9 AS", "41.9::DOUBLE AS").replace("41.8 AS", "41.8::DOUBLE AS").replace("-87.6 AS", "-87.6::DOUBLE AS").replace("-87.7 AS", "-87.7::DOUBLE AS"))
+@query("src_city_bbox", "SELECT lower(n_name) AS city, (400 + n_nationkey + 5) / 10.0::DOUBLE AS north, (400 + n_nationkey) / 10.0::DOUBLE AS south, (n_nationkey - 800 + 7) / 10.0::DOUBLE AS east, (n_nationkey - 800) / 10.0::DOUBLE AS west FROM nation")
 def src_city_bbox(spark, sf_dir):
-    boxes = {"chicago": "41.9,41.8,-87.6,-87.7"}
-    rows = spark.createDataFrame(list(boxes.items()), "city string, box string").withColumn("p", F.split("box", ","))
+    path = f"{shared_dir(spark)}/cities-{uuid.uuid4().hex}"
+    side = lambda n: F.format_string("%.1f", n / 10)
+    k = F.col("n_nationkey")
+    box = F.concat_ws(",", side(k + 405), side(k + 400), side(k - 793), side(k - 800))
+    views.table(spark, sf_dir, "nation").select(F.lower("n_name").alias("city"), box.alias("box")).write.json(path)
+    rows = spark.read.schema("city string, box string").json(path).withColumn("p", F.split("box", ","))
     return rows.select("city", *(F.col("p")[i].cast("double").alias(k) for i, k in enumerate(("north", "south", "east", "west"))))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corridor.functions import clock, identity
-from corridor.sinks.lines import DECLARATION, document, element, fixed, section, text
+from corridor.sinks.lines import DECLARATION, block, document, element, escaped, fixed, section, text
 
 _c = F.col
 
@@ -66,15 +66,20 @@ def sumo_vtype(name: str) -> str:
     return f'  <vType id="{name}" vClass="passenger" ' + " ".join(f'{k}="{v}"' for k, v in CAR.items()) + "/>"
 
 
-def matsim_vehicle_type(spark: SparkSession) -> DataFrame:
-    """The only vehicle type: a car as long as its body and gap."""
-    return document(
-        text(
-            spark, 0, DECLARATION, '<vehicleDefinitions xmlns="http://www.matsim.org/files/dtd">', '    <vehicleType id="car">',
-            f'        <length meter="{CAR["length"] + CAR["minGap"]}"/>', f'        <width meter="{CAR["width"]}"/>', f'        <maximumVelocity meterPerSecond="{CAR["maxSpeed"]}"/>',
-            '        <passengerCarEquivalents pce="1.0"/>', '        <networkMode networkMode="car"/>', "    </vehicleType>", "</vehicleDefinitions>",
-        )
+def sumo_vtypes(types: DataFrame) -> DataFrame:
+    """A line for each type (``type, length``, that of the body), otherwise a car."""
+    rest = {k: F.lit(str(v)) for k, v in CAR.items() if k != "length"}
+    return document(section(0, types, _c("type"), element("vType", {"id": _c("type"), "vClass": F.lit("passenger"), "length": _c("length"), **rest}, 2)))
+
+
+def matsim_vehicle_types(types: DataFrame) -> DataFrame:
+    """A definition for each type (``type, length``): as long as its body and the gap before it."""
+    spark = types.sparkSession
+    one = block(
+        1, types, _c("type"), element("vehicleType", {"id": _c("type")}, close=False), element("length", {"meter": fixed(_c("length") + CAR["minGap"], 1)}, 8), f'        <width meter="{CAR["width"]}"/>',
+        f'        <maximumVelocity meterPerSecond="{CAR["maxSpeed"]}"/>', '        <passengerCarEquivalents pce="1.0"/>', '        <networkMode networkMode="car"/>', "    </vehicleType>",
     )
+    return document(text(spark, 0, DECLARATION, '<vehicleDefinitions xmlns="http://www.matsim.org/files/dtd">'), one, text(spark, 2, "</vehicleDefinitions>"))
 
 
 def matsim_network(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -117,10 +122,11 @@ def matsim_plans(trips: DataFrame) -> DataFrame:
     return document(text(spark, 0, DECLARATION, "<population>"), body, text(spark, 2, "</population>"))
 
 
-def matsim_config(spark: SparkSession, seed: int, files: dict[str, str]) -> DataFrame:
-    modules = [f'  <module name="global"><param name="randomSeed" value="{seed}"/></module>']
-    modules += [f'  <module name="{k}"><param name="inputFile" value="{v}"/></module>' for k, v in files.items()]
-    return document(text(spark, 0, DECLARATION, "<config>", *modules, "</config>"))
+def matsim_config(runs: DataFrame) -> DataFrame:
+    """A configuration for each run (``run, seed, network, plans``)."""
+    module = lambda name, key, value: F.concat(F.lit(f'  <module name="{name}"><param name="{key}" value="'), value.cast("string"), F.lit('"/></module>'))
+    files = [module(k, "inputFile", _c(k)) for k in ("network", "plans")]
+    return document(block(0, runs, _c("run"), DECLARATION, "<config>", module("global", "randomSeed", _c("seed")), *files, "</config>"))
 
 
 def signals_xml(controllers: DataFrame) -> DataFrame:
@@ -136,22 +142,26 @@ def signals_xml(controllers: DataFrame) -> DataFrame:
     return document(text(spark, 0, DECLARATION, "<signals>"), section(1, rows, _c("id"), head, 0), body, section(1, rows, _c("id"), F.lit("  </junction>"), 2_000_000_000), text(spark, 2, "</signals>"))
 
 
-def config_xml(spark: SparkSession, scenario_id: str, description: str, start: int, end: int, seed: int) -> DataFrame:
+def config_xml(scenarios: DataFrame) -> DataFrame:
+    """A configuration for each scenario (``scenario_id, description, start, end, seed``)."""
+    quote = lambda a, x, b: F.concat(F.lit(a), x, F.lit(b))
     return document(
-        text(
-            spark, 0, DECLARATION, "<config>", f'  <metadata scenario_id="{scenario_id}">', f"    <description>{description}</description>", "  </metadata>",
-            f'  <time start_time_s="{start}" end_time_s="{end}" time_step_s="1"/>', f'  <random seed="{seed}" engine_seed_mode="fixed"/>',
+        block(
+            0, scenarios, _c("scenario_id"), DECLARATION, "<config>", element("metadata", {"scenario_id": _c("scenario_id")}, 2, close=False), quote("    <description>", escaped(_c("description")), "</description>"), "  </metadata>",
+            element("time", {"start_time_s": _c("start"), "end_time_s": _c("end"), "time_step_s": F.lit(1)}, 2), element("random", {"seed": _c("seed"), "engine_seed_mode": F.lit("fixed")}, 2),
             '  <units length="meters" speed="m/s" time="seconds"/>', '  <simulation warmup_time_s="0" aggregation_interval_s="300"/>', "</config>",
         )
     )
 
 
-def manifest_xml(files: DataFrame, scenario_id: str) -> DataFrame:
-    """A bundle's files (``type, path, sha256``), without a hash where a file is absent."""
-    spark = files.sparkSession
+def manifest_xml(files: DataFrame) -> DataFrame:
+    """A manifest for each bundle (``scenario``) of its files (``type, path, sha256``), without a hash where a file is absent."""
+    key = F.concat_ws("\t", "scenario", "type")
     line = element("file", {"type": _c("type"), "path": _c("path"), "sha256": _c("sha256")})
-    head = ("<manifest version=\"0.2\">", f'  <scenario id="{scenario_id}"/>', "  <canonical_files>")
-    return document(text(spark, 0, DECLARATION, *head), section(1, files, _c("type"), line), text(spark, 2, "  </canonical_files>", "</manifest>"))
+    bundles = files.select("scenario").distinct()
+    head = block(0, bundles, F.concat("scenario", F.lit("\t")), DECLARATION, '<manifest version="0.2">', element("scenario", {"id": _c("scenario")}, 2), "  <canonical_files>")
+    foot = block(0, bundles, F.concat("scenario", F.lit("\t~")), "  </canonical_files>", "</manifest>")
+    return document(head, section(0, files, key, line), foot)
 
 
 def gmns_nodes(nodes: DataFrame, zones: DataFrame) -> DataFrame:
@@ -206,12 +216,19 @@ def gmns_demand(trips: DataFrame) -> DataFrame:
     return ends.groupBy("o_zone_id", "d_zone_id").agg(F.count("*").alias("volume"))
 
 
-def gmns_settings(spark: SparkSession, iterations: int) -> DataFrame:
-    return document(text(spark, 0, "[assignment]", "assignment_mode,number_of_iterations,column_updating_iterations", f"ue,{iterations},{iterations}", "[demand_period]", "demand_period_id,demand_period,time_period", "1,AM,0700_0800"))
+def gmns_settings(periods: DataFrame, iterations: int) -> DataFrame:
+    """Settings with the demand periods (``period_id, period, first, last``: hours as ``HHMM``)."""
+    head = text(periods.sparkSession, 0, "[assignment]", "assignment_mode,number_of_iterations,column_updating_iterations", f"ue,{iterations},{iterations}", "[demand_period]", "demand_period_id,demand_period,time_period")
+    line = F.concat_ws(",", "period_id", "period", F.concat_ws("_", "first", "last"))
+    return document(head, section(1, periods, _c("period_id"), line))
 
 
-def gmns_settings_yml(spark: SparkSession, iterations: int) -> DataFrame:
-    return document(text(spark, 0, "---", "agents:", "  - type: a", "    name: auto", "    vot: 10", "demand_periods:", "  - period: AM", "    time_period: 0700-0800", "assignment:", f"  iterations: {iterations}"))
+def gmns_settings_yml(agents: DataFrame, periods: DataFrame, iterations: int) -> DataFrame:
+    """The same for newer engines, with the kinds of agents (``agent``)."""
+    spark, say = periods.sparkSession, lambda a, x: F.concat(F.lit(a), x)
+    kinds = block(1, agents, _c("agent"), say("  - type: ", F.substring("agent", 1, 1)), say("    name: ", _c("agent")), "    vot: 10")
+    times = block(3, periods, _c("period_id"), say("  - period: ", _c("period")), say("    time_period: ", F.concat_ws("-", "first", "last")))
+    return document(text(spark, 0, "---", "agents:"), kinds, text(spark, 2, "demand_periods:"), times, text(spark, 4, "assignment:", f"  iterations: {iterations}"))
 
 
 def latex_table(cells: DataFrame) -> DataFrame:

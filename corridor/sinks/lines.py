@@ -36,6 +36,13 @@ def section(part: int, rows: DataFrame, key: Column, line: Column, at: int = 0)
     return rows.select(F.lit(part).alias("part"), key.cast("string").alias("key"), F.lit(at).alias("at"), line.alias("line"))
 
 
+def block(part: int, rows: DataFrame, key: Column, *lines: Column | str) -> DataFrame:
+    """Several lines for each row, in order."""
+    every = F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines))
+    own = rows.select(key.cast("string").alias("key"), F.posexplode(every).alias("at", "line"))
+    return own.select(F.lit(part).alias("part"), "key", "at", "line")
+
+
 def text(spark: SparkSession, part: int, *lines: str) -> DataFrame:
     """Fixed lines: a head, a foot, a template."""
     return spark.createDataFrame([(part, "", i, line) for i, line in enumerate(lines)], "part int, key string, at int, line string")

@@ -119,6 +119,12 @@ def csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> D
     return rows.select(*(F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
+def missing_columns(headers: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """``key, missing``: the wanted columns that a file's header (``value``) lacks."""
+    lacking = F.array_except(F.array(*map(F.lit, wanted)), F.transform(F.split("value", ","), F.trim))
+    return headers.select(key, F.explode(lacking).alias("missing"))
+
+
 def demand(spark: SparkSession, path: str) -> DataFrame:
     """Trips with both ends; the purpose may lack."""
     rows = csv(spark, path, ["trip_id", "origin_node_id", "destination_node_id", "departure_time_s", "mode", "dest_source", "purpose"])
