@@ -26,6 +26,7 @@ first, a single row's itself; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,50 +45,63 @@ from corridor.session import materialise
 SAMPLES = 128
 #: Words with a count whose draws a worker keeps, draws made at once, bytes of text worked on at once.
 KEPT = 60_000
-AT_ONCE = 1024
+AT_ONCE = 256
 SLICE = 2 << 20
 _LOW = np.uint64(0xFFFF)
-#: A constant for each of five uniform numbers and the hash of each sample.
-_SALT = mix(np.arange(1, 6 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(6, SAMPLES)
+#: A constant for each of four hashes and each sample.
+_SALT = mix(np.arange(1, 4 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(4, SAMPLES)
 
 
-def _uniform(terms: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1), a row a term."""
-    bits = mix(terms[:, None] ^ salt[None, :]) >> np.uint64(12)
-    return (bits.astype(np.float64) + 0.5) * 2.0**-52
+def _gamma(bits: np.ndarray) -> np.ndarray:
+    """Numbers from Gamma(2, 1): of two uniform ones, half of the bits each."""
+    a, b = (bits >> np.uint64(32)).astype(np.float64), (bits & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    a += 0.5
+    b += 0.5
+    a *= b
+    np.log(a, out=a)
+    return math.log(2.0**64) - a
 
 
 def draws(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each word and count, every sample's value; as whole numbers, which keep the order, with the winner's hash in the low bits."""
     out = np.empty((len(terms), SAMPLES), dtype=np.uint64)
+    weights = np.log(counts)
     for at in range(0, len(terms), AT_ONCE):
-        term, count = terms[at : at + AT_ONCE], counts[at : at + AT_ONCE]
-        r = -np.log(_uniform(term, _SALT[0]) * _uniform(term, _SALT[1]))
-        c = -np.log(_uniform(term, _SALT[2]) * _uniform(term, _SALT[3]))
-        b = _uniform(term, _SALT[4])
-        t = np.floor(np.log(count)[:, None] / r + b)
-        value = c * np.exp(r * (b - t) - r)
-        own = mix(term[:, None] ^ _SALT[5][None, :] ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
-        out[at : at + AT_ONCE] = (value.view(np.uint64) & ~_LOW) | (own & _LOW)
+        own = terms[at : at + AT_ONCE, None]
+        r, c = _gamma(mix(own ^ _SALT[0])), _gamma(mix(own ^ _SALT[1]))
+        b = (mix(own ^ _SALT[2]) >> np.uint64(12)).astype(np.float64) * 2.0**-52
+        t = np.floor(weights[at : at + AT_ONCE, None] / r + b)
+        b -= t
+        b -= 1
+        b *= r
+        np.exp(b, out=b)
+        b *= c
+        name = mix((own ^ _SALT[3]) + t.astype(np.int64).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        out[at : at + AT_ONCE] = (b.view(np.uint64) & ~_LOW) | (name & _LOW)
     return out
 
 
 class Sampler:
-    """Fingerprints texts; keeps the draws of the first ``KEPT`` words with a count."""
+    """Fingerprints texts; keeps the draws of the first ``KEPT`` words with a count, and those of the last call."""
 
     def __init__(self, kept: int = KEPT) -> None:
         self.limit = kept
         self.keys = np.empty(0, dtype=np.uint64)
         self.table = np.empty((0, SAMPLES), dtype=np.uint64)
+        self.last = self.keys, self.table
 
     def _rows(self, terms: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Draws of distinct words with counts, in the order of their ``keys``."""
         out = np.empty((len(keys), SAMPLES), dtype=np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
-        out[known] = self.table[at[known]]
-        new = np.flatnonzero(~known)
+        new = np.arange(len(keys))
+        for known, table in ((self.keys, self.table), self.last):
+            if len(known) and len(new):
+                at = np.minimum(np.searchsorted(known, keys[new]), len(known) - 1)
+                found = known[at] == keys[new]
+                out[new[found]] = table[at[found]]
+                new = new[~found]
         out[new] = draws(terms[new], counts[new])
+        self.last = keys, out
         room = min(self.limit - len(self.keys), len(new))
         if room > 0:
             both = np.concatenate([self.keys, keys[new[:room]]])
