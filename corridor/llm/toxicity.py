@@ -4,11 +4,13 @@ Texts are folded first: lower case, look-alike letters of other scripts to Latin
 signs that stand for letters to those, ``l`` and ``i`` to one letter, combining and invisible
 characters away. An Aho-Corasick automaton finds the lexicon's terms at word beginnings: a
 term is the beginning of a word or, where it ends in a blank, a whole word. Hits inside
-exception phrases do not count. The score is a logistic function of the summed weights, of
+exception phrases do not count: some are fixed, others are learned, two words with a hit that
+several clean rows and no toxic one hold. The score is a logistic function of the summed weights, of
 their density (sum over a saturating length) and of a bias.
 
 ``train`` learns terms and weights from labelled rows: at most ``TRAIN_ROWS`` of them, picked
-by a hash of the id, of which near copies count once (rows whose least shingle hash agrees).
+by a hash of the id, of which near copies count once (of rows whose least shingle hash agrees
+the one whose text has the least hash, so that the sample depends on the rows alone).
 A term's weight is its log odds; of a chain of beginnings that the same documents hold, the
 longest is kept, and terms that a kept, shorter one covers are left out. Rare terms are left
 out as well (``LEAST_SHARE`` of the toxic rows). The score's coefficients are fitted on rows
@@ -50,6 +52,8 @@ LEAST_ROWS = 4
 LEAST_WEIGHT = 2.0
 #: Toxic rows with a term for each clean one, at least.
 LEAST_RATIO = 8
+#: Clean rows that hold a learned exception, at least.
+LEAST_CLEAN = 5
 #: Beginnings of words that are tried as terms.
 SHORTEST, LONGEST = 3, 10
 #: Words after which length counts no further against a text.
@@ -146,11 +150,8 @@ class Lexicon:
             self._automaton = found
         return self._automaton
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Summed weights, and their sum for each unit of length."""
-        if not text or not (self.weights or self.exceptions):
-            return 0.0, 0.0
-        folded = fold(text)
+    def hits(self, folded: str) -> dict[int, float]:
+        """Places of the terms outside exceptions, with their weights."""
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         for end, (n, weight) in self.matcher().iter(folded):
@@ -161,12 +162,31 @@ class Lexicon:
             else:
                 best[start] = max(weight, best.get(start, 0.0))
         spared = _merged(spared)
-        total = sum(w for s, w in best.items() if not _within(s, spared))
+        return {s: w for s, w in best.items() if not _within(s, spared)}
+
+    def features(self, text: str | None) -> tuple[float, float]:
+        """Summed weights, and their sum for each unit of length."""
+        if not text or not (self.weights or self.exceptions):
+            return 0.0, 0.0
+        folded = fold(text)
+        total = sum(self.hits(folded).values())
         if total == 0.0:
             return 0.0, 0.0
         words = folded.count(" ") - 1
         return total, total / (words * LONG_TEXT / (words + LONG_TEXT))
 
+    def phrases(self, folded: str) -> set[str]:
+        """Each word that a term hits, with the word before it and with the one behind."""
+        out: set[str] = set()
+        for start in self.hits(folded):
+            end = folded.index(" ", start)
+            before, behind = folded.rfind(" ", 0, max(0, start - 1)), folded.find(" ", end + 1)
+            if start > 1:
+                out.add(folded[before + 1 : end])
+            if behind > 0:
+                out.add(folded[start:behind])
+        return out
+
     def score(self, text: str | None) -> float:
         """0 to 1, higher where the text is likelier toxic."""
         if not self.trained:
@@ -230,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
             texts = [fold(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(t) for t in texts], pa.int64()), pa.array(texts)], ["toxic", "sketch", "text"])
 
-    sample = joined.mapInArrow(folded, "toxic int, sketch long, text string").dropDuplicates(["toxic", "sketch"])
+    sample = joined.mapInArrow(folded, "toxic int, sketch long, text string").groupBy("toxic", "sketch").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     sample = sample.withColumn("half", (F.col("sketch") % 2).cast("int"))
     sample = materialise(sample, "toxicity-sample")
     sizes = {(r["toxic"], r["half"]): r["n"] for r in sample.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
@@ -264,7 +284,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
         some = lambda found: {t: k for t, n in found.items() if (k := sum(n[h] for h in halves)) > 1}
         return Lexicon(choose(some(toxic), {t: sum(n[h] for h in halves) for t, n in clean.items()}, sum(n_toxic[h] for h in halves), sum(n_clean[h] for h in halves)))
 
-    others = (lexicon_of((1,)), lexicon_of((0,)))  # a row's features are of terms learned without it
+    whole = lexicon_of((0, 1))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(y, h, p) for y, h, t in zip(*(c.to_pylist() for c in batch.columns)) for p in whole.phrases(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))], ["toxic", "half", "phrase"])
+
+    n = lambda cond: F.count(F.when(F.expr(cond), 1))
+    clean_half = [n(f"toxic = 0 AND half = {h}").alias(f"n{h}") for h in (0, 1)]
+    spared = sample.select("toxic", "half", "text").mapInArrow(around, "toxic int, half int, phrase string").groupBy("phrase").agg(n("toxic = 1").alias("n"), *clean_half)
+    # phrases of a bounded sample
+    learned = [(r["phrase"], (r["n0"], r["n1"])) for r in spared.where(f"n = 0 AND n0 + n1 >= {LEAST_CLEAN}").collect()]
+
+    def with_exceptions(halves: tuple[int, ...]) -> Lexicon:
+        found = lexicon_of(halves)
+        found.exceptions = (*EXCEPTIONS, *sorted(p for p, k in learned if sum(k[h] for h in halves) >= LEAST_CLEAN))
+        return found
+
+    others = (with_exceptions((1,)), with_exceptions((0,)))  # a row's features are of terms learned without it
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], ["toxic", "total", "density"])
 
     x = np.array(sorted(map(tuple, sample.select("toxic", "half", "text").mapInArrow(measure, "toxic int, total double, density double").collect())))
-    lexicon = lexicon_of((0, 1))
+    lexicon = with_exceptions((0, 1))
     lexicon.bias, lexicon.by_sum, lexicon.by_density = fit_score(x[:, 1:], x[:, 0])
     lexicon.trained = True
     return lexicon

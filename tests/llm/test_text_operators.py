@@ -226,3 +226,15 @@ def test_keep_one_of_repeated_and_null_ids(spark):
     assert sorted(r for r in runs[0] if r not in own) == bare and len(own) == len(groups)
     at = {(str(d), t): comp[i] for i, (d, t) in enumerate(rows)}
     assert {at[r]: r[0] for r in own} == {c: str(v) for c, v in least.items()}
+
+
+def test_toxicity_learns_exceptions_and_depends_on_the_rows_alone(spark):
+    rows = [(i, f"{'you utter zorbish' if i % 2 else 'what a zorbish'} word{i} said number{i * 7} again", 1) for i in range(80)]
+    rows += [(100 + i, f"the zorbish fish{'' if i % 2 else ','} swims word{i} past reef{i} quietly", 0) for i in range(7)]
+    rows += [(200 + i, f"plain words{i} about item{i} and more of thing{i}", 0) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(300 + i, rows[0][1]) for i in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(300 + i, 1) for i in range(5)], "doc_id long, toxic int")
+    found = [toxicity.train(docs.repartition(n, "text"), labels) for n in (2, 7)]
+    assert found[0] == found[1]
+    assert "zorbish fish" in {p for p in found[0].exceptions} or toxicity.fold("zorbish fish").strip() in found[0].exceptions
+    assert found[0].score("a zorbish fish in the sea") < 0.1 < 0.7 < found[0].score("you utter zorbish")
