@@ -30,14 +30,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
-#: The setting that holds the secret key of pseudonyms, and the key where it is unset: a public one, for tests.
+#: The setting that holds the secret key of pseudonyms; where it is unset a local master takes a public one, for tests.
 KEY_SETTING = "spark.corridor.pseudonymKey"
 PSEUDONYM_KEY = b"corridor demonstration key"
 
 
 def pseudonym_key(spark: SparkSession) -> bytes:
-    """The session's key for pseudonyms."""
+    """The session's key for pseudonyms; a cluster must have one."""
     found = spark.conf.get(KEY_SETTING, None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{KEY_SETTING} must hold a secret key: pseudonyms under a public one can be undone by anyone")
     return found.encode() if found else PSEUDONYM_KEY
 
 
