@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corridor.operators.components import strong_components
 from corridor.session import materialise
 
 
@@ -117,92 +118,11 @@ def paths(links: DataFrame, trips: DataFrame, visited: int = VISITED) -> DataFra
     return trips.join(done, ["origin", "destination"], "left").select(*trips.columns, path.alias("path"))
 
 
-def _chains(edges: DataFrame, loops: DataFrame) -> DataFrame:
-    """``v, u, w``: nodes with one way in (from ``u``) and one way out (to ``w``), of which no two are neighbours."""
-    into = edges.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("n_in"), F.min("a").alias("u"))
-    out = edges.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n_out"), F.min("b").alias("w"))
-    chain = into.join(out, "v").where("n_in = 1 AND n_out = 1").join(loops.select(F.col("node").alias("v")), "v", "left_anti").select("v", "u", "w")
-    chain = materialise(chain.withColumn("p", F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("id"))), "chains")
-    beside = lambda end: chain.select(F.col("v").alias(end), F.col("p").alias(f"p_{end}"))
-    rows = chain.join(beside("u"), "u", "left").join(beside("w"), "w", "left")
-    return rows.where("(p_u IS NULL OR p < p_u) AND (p_w IS NULL OR p < p_w)").select("v", "u", "w")
-
-
-def _contracted(edges: DataFrame, loops: DataFrame, least_share: float = 0.05) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """The graph without its chains: edges (``a, b``) and loops (``node``) carry the number ``k`` and ``least`` id of the nodes in them.
-
-    A node of a chain is in the component of both its neighbours or alone, so an edge takes its
-    place. Neighbours never go together; each round takes a third of a chain, and a ring of n
-    nodes is gone after about log n rounds. Also gives the nodes taken in each round.
-    """
-    rounds: list[DataFrame] = []
-    total = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().count()
-    while True:
-        gone = materialise(_chains(edges, loops), "gone")
-        n = gone.count()
-        if n == 0 or n < least_share * total:
-            return edges, loops, rounds
-        rounds.append(gone)
-        total -= n
-        outs = edges.join(gone.select(F.col("v").alias("a"), F.col("u").alias("from"), "w"), "a").select(F.col("a").alias("v"), "from", F.col("b").alias("to"), "k", "least")
-        ins = edges.join(gone.select(F.col("v").alias("b")), "b").select(F.col("b").alias("v"), F.col("k").alias("k2"), F.col("least").alias("least2"))
-        bridged = outs.join(ins, "v").select(F.col("from").alias("a"), F.col("to").alias("b"), (F.col("k") + F.col("k2") + 1).alias("k"), F.least("least", "least2", "v").alias("least"))
-        dead = gone.select(F.col("v").alias("x"))
-        rest = edges.join(dead, F.col("a") == F.col("x"), "left_anti").join(dead, F.col("b") == F.col("x"), "left_anti").select("a", "b", "k", "least")
-        merged = materialise(rest.union(bridged).groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("least").alias("least")), "edges")
-        turned = merged.where("a = b").select(F.col("a").alias("node"), "k", "least")
-        loops = materialise(loops.union(turned).groupBy("node").agg(F.sum("k").alias("k"), F.min("least").alias("least")), "loops")
-        edges = merged.where("a <> b")
-
-
 def largest_component(links: DataFrame) -> DataFrame:
-    """Nodes of the largest strongly connected component; ties go to the smallest node id.
-
-    Chains are contracted first. Then forward and backward reach from the busiest node left gives
-    its component; this repeats until no more nodes are left than the best component has.
-    """
-    plain = links.where("from_node <> to_node").select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct()
-    plain = materialise(plain.withColumns({"k": F.lit(0).cast("long"), "least": F.lit(None).cast("string")}), "edges")
-    no_loops = plain.limit(0).select(F.col("a").alias("node"), "k", "least")
-    edges, loops, rounds = _contracted(plain, no_loops)
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).union(loops.select("node")).distinct()
-    own = loops.withColumnsRenamed({"k": "loop_k", "least": "loop_least"})
-    left = materialise(ends.join(own, "node", "left").select("node", (F.coalesce("loop_k", F.lit(0)) + 1).alias("k"), F.least("node", "loop_least").alias("least")), "nodes")
-    best: tuple[int, str] | None = None
-    best_nodes = left.limit(0).select("node")
-
-    def inside(nodes: DataFrame) -> DataFrame:
-        held = edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
-        return held.select("a", "b", "k", "least")
-
-    def weighed(nodes: DataFrame) -> tuple[int, str | None]:
-        both = nodes.select("k", "least").union(inside(nodes).select("k", "least"))
-        n, least = both.agg(F.sum("k"), F.min("least")).first()
-        return n or 0, least
-
-    while (n := weighed(left)[0]) and (best is None or n >= best[0]):
-        trimmed = inside(left)
-        both = materialise(trimmed.select(F.col("a").alias("node")).intersect(trimmed.select(F.col("b").alias("node"))), "trimmed")
-        lone = left.join(both, "node", "left_anti")  # components of their own
-        found = lone.agg(F.min(F.struct((-F.col("k")).alias("n"), "least", "node"))).first()[0]
-        if found is not None and (best is None or (found["n"], found["least"]) < (-best[0], best[1])):
-            best, best_nodes = (-found["n"], found["least"]), left.where(F.col("node") == found["node"]).select("node")
-        if both.limit(1).count() == 0:
-            break
-        left = left.join(both, "node", "left_semi")
-        inner = materialise(inside(left).select(F.col("a").alias("from_node"), F.col("b").alias("to_node")), "edges")
-        pivot = inner.groupBy(F.col("from_node").alias("node")).count().join(both, "node", "left_semi").orderBy(F.desc("count"), "node").limit(1).select("node")
-        pivot = materialise(pivot, "pivot")
-        back = inner.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"))
-        reach = materialise(hops(inner, pivot).select("node").intersect(hops(back, pivot).select("node")), "component")
-        size, least = weighed(left.join(reach, "node", "left_semi"))
-        if best is None or (-size, least) < (-best[0], best[1]):
-            best, best_nodes = (size, least), reach
-        left = materialise(left.join(reach, "node", "left_anti"), "nodes")
-    for gone in reversed(rounds):  # a chain's node is in where both its neighbours are
-        held = gone.join(best_nodes.select(F.col("node").alias("u")), "u", "left_semi").join(best_nodes.select(F.col("node").alias("w")), "w", "left_semi")
-        best_nodes = materialise(best_nodes.union(held.select(F.col("v").alias("node"))), "component")
-    return best_nodes
+    """Nodes of the largest strongly connected component; ties go to the smallest node id."""
+    found = materialise(strong_components(links), "components")
+    largest = found.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
+    return materialise(found.join(F.broadcast(largest), "component").select("node"), "component")  # one row
 
 
 def ranked_classes(links: DataFrame) -> DataFrame:
@@ -247,37 +167,47 @@ def with_endpoints(links: DataFrame, nodes: DataFrame, metric: DataFrame) -> Dat
     return both.select("link_id", "x1", "y1", "x2", "y2", F.coalesce("volume", F.lit(0)).alias("volume"))
 
 
-def restricted_paths(links: DataFrame, trips: DataFrame, forbidden: DataFrame) -> DataFrame:
+def restricted_paths(links: DataFrame, trips: DataFrame, forbidden: DataFrame, visited: int = VISITED) -> DataFrame:
     """``trips`` with ``path``: a fewest-hop path that makes no forbidden move (``via_node, from_link, to_link``), null without one.
 
-    A state is a node and the link that led there, the last one between two nodes; the first move is
-    free. Of several paths it is the one a search finds that tries nodes by ``link_pos``, as in ``paths``.
+    A state is a node and, only where a rule forbids a move from it, the link that led there (the
+    last one between two nodes): other links leave the same ways open, so they share a state. The
+    first move is free. Of several paths it is the one a search finds that tries nodes by
+    ``link_pos``, as in ``paths``; origins are searched in blocks likewise.
     """
     whole = links.where("link_id <> '' AND from_node <> '' AND to_node <> ''")
     edges = whole.groupBy(F.col("from_node").alias("node"), F.col("to_node").alias("to")).agg(F.min("link_pos").cast("long").alias("pos"), F.max_by("link_id", "link_pos").alias("link"))
+    bad = forbidden.select(F.col("via_node").alias("node"), F.col("from_link").alias("last"), F.col("to_link").alias("link")).distinct()
+    bad = materialise(bad.join(edges.select("node", "link"), ["node", "link"], "left_semi"), "forbidden")
+    ruled = bad.select(F.col("node").alias("to"), F.col("last").alias("link"), F.lit(True).alias("ruled")).distinct()
+    edges = edges.join(ruled, ["to", "link"], "left").select("node", "to", "pos", "link", F.when(F.col("ruled"), F.col("link")).alias("state"))
     edges = materialise(edges, "edges")
-    bad = materialise(forbidden.select(F.col("via_node").alias("node"), F.col("from_link").alias("last"), F.col("to_link").alias("link")).distinct(), "forbidden")
-    wanted = materialise(trips.where("origin <> destination").select("origin", "destination").distinct(), "pairs")
-    frontier = wanted.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.lit(None).cast("string").alias("last"), F.array().cast("array<bigint>").alias("at"), F.array("origin").alias("path"))
-    seen = frontier.limit(0).select("origin", "node", F.col("last").alias("link"))
-    done, level = wanted.limit(0).withColumn("path", F.array("origin")), 0
-    while True:
-        level += 1
-        step = frontier.join(edges, "node").join(bad, ["node", "last", "link"], "left_anti")
-        step = step.select("origin", F.col("to").alias("node"), "link", F.concat("at", F.array("pos")).alias("at"), F.concat("path", F.array("to")).alias("path"))
-        new = step.join(seen, ["origin", "node", "link"], "left_anti").groupBy("origin", "node", "link").agg(F.min(F.struct("at", "path")).alias("x"))
-        new = materialise(new.select("origin", "node", "link", "x.at", "x.path"), "frontier")
-        first = new.groupBy("origin", F.col("node").alias("destination")).agg(F.min(F.struct("at", "path")).alias("x")).select("origin", "destination", "x.path")
-        done = done.union(wanted.join(first, ["origin", "destination"]))
-        wanted = materialise(wanted.join(first, ["origin", "destination"], "left_anti"), "wanted")
-        seen = seen.union(new.select("origin", "node", "link"))
-        frontier = new.join(wanted.select("origin").distinct(), "origin", "left_semi").select("origin", "node", F.col("link").alias("last"), "at", "path")
-        if frontier.limit(1).count() == 0:
-            break
-        if level % 8 == 0:
-            seen, done = materialise(seen, "seen"), materialise(done, "paths")
+    pairs = materialise(trips.where("origin <> destination").select("origin", "destination").distinct(), "pairs")
+    most = pairs.select("origin").distinct().count() * edges.select("to", "state").distinct().count()
+    blocks = max(1, -(-most // visited))
+    done = pairs.limit(0).withColumn("path", F.array("origin"))
+    for block in range(blocks):
+        wanted = pairs.where(F.pmod(F.xxhash64("origin"), F.lit(blocks)) == block)
+        frontier = wanted.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.lit(None).cast("string").alias("last"), F.array().cast("array<bigint>").alias("at"), F.array("origin").alias("path"))
+        seen, level = frontier.limit(0).select("origin", "node", F.lit("").alias("state")), 0
+        while True:
+            level += 1
+            step = frontier.join(edges, "node").join(bad, ["node", "last", "link"], "left_anti")
+            step = step.select("origin", F.col("to").alias("node"), F.coalesce("state", F.lit("")).alias("state"), F.concat("at", F.array("pos")).alias("at"), F.concat("path", F.array("to")).alias("path"))
+            new = step.join(seen, ["origin", "node", "state"], "left_anti").groupBy("origin", "node", "state").agg(F.min(F.struct("at", "path")).alias("x"))
+            new = materialise(new.select("origin", "node", "state", "x.at", "x.path"), "frontier")
+            first = new.groupBy("origin", F.col("node").alias("destination")).agg(F.min(F.struct("at", "path")).alias("x")).select("origin", "destination", "x.path")
+            done = done.union(wanted.join(first, ["origin", "destination"]))
+            wanted = materialise(wanted.join(first, ["origin", "destination"], "left_anti"), "wanted")
+            seen = seen.union(new.select("origin", "node", "state"))
+            frontier = new.join(wanted.select("origin").distinct(), "origin", "left_semi").select("origin", "node", F.when(F.col("state") != "", F.col("state")).alias("last"), "at", "path")
+            if frontier.isEmpty():
+                break
+            if level % 8 == 0:
+                seen, done = materialise(seen, "seen"), materialise(done, "paths")
+        done = materialise(done, "paths")
     path = F.when(F.col("origin") == F.col("destination"), F.array("origin")).otherwise(F.col("path"))
-    return trips.join(materialise(done, "paths"), ["origin", "destination"], "left").select(*trips.columns, path.alias("path"))
+    return trips.join(done, ["origin", "destination"], "left").select(*trips.columns, path.alias("path"))
 
 
 def routes(links: DataFrame, trips: DataFrame, forbidden: DataFrame) -> DataFrame:
