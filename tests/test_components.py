@@ -36,8 +36,9 @@ def test_components_of_random_networks(spark, block, seed, n, m):
 
 
 def test_an_order_with_rings(spark):
-    chain = [(f"v{i:03}", f"v{i + 1:03}") for i in range(60)] + [("v010", "v005"), ("v040", "v031"), ("v060", "v050"), ("v004", "v000")]
-    assert _found(spark, chain, 20) == _plain(chain)
+    back = [(10, 5), (140, 31), (360, 250), (4, 0)]
+    chain = [(f"v{i:03}", f"v{i + 1:03}") for i in range(400)] + [(f"v{a:03}", f"v{b:03}") for a, b in back]
+    assert _found(spark, chain, 160) == _plain(chain)
 
 
 def test_search_where_rounds_do_not_shrink(spark, monkeypatch):
