@@ -252,3 +252,50 @@ def markdown_table(cells: DataFrame) -> DataFrame:
     key = F.concat_ws("\t", "scenario", "engine", "mode")
     head = ("| Scenario | Engine | Mode | Runtime (s) | Trips | Avg TT (s) | R-Score |", "|----------|--------|------|-------------|-------|------------|---------|")
     return document(text(spark, 0, *head), section(1, cells, key, F.when(_c("successes") > 0, good).otherwise(failed)))
+
+
+#: Names of reproducibility, by the least index.
+LEVELS = ((0.99, "EXCELLENT"), (0.95, "GOOD"), (0.80, "ACCEPTABLE"))
+
+
+def level(r: Column) -> Column:
+    """The name of an index; a dash without one."""
+    name = F.when(r.isNull() | F.isnan(r), "—")
+    for least, word in LEVELS:
+        name = name.when(r >= least, word)
+    return name.otherwise("POOR")
+
+
+def scorecard_md(name: str, hashes: DataFrame, fairness: DataFrame, cells: DataFrame, failed: DataFrame) -> DataFrame:
+    """A run's scorecard: the verdict, the bundles' hashes (``scenario, name, sha256``), Q1 by scenario (``scenario, verdict, engines``), reproducibility of cells (as ``cell_stats``), and the failed runs (``scenario, engine, mode, seed, error``)."""
+    spark = cells.sparkSession
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    number = lambda x, places: F.when(x.isNull() | F.isnan(x), "—").otherwise(fixed(x, places))
+    good = cells.where("successes > 0")
+    counted = (F.col("n_tt") >= 2) & ~F.isnan("r")
+    index = good.agg(F.avg(F.when(counted, F.col("r"))).alias("r"), F.coalesce(F.bool_or(counted & (F.col("r") < 0.8)), F.lit(False)).alias("low"))
+    runs = cells.agg(F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"), F.coalesce(F.sum("successes"), F.lit(0)).alias("successes"))
+    drift = fairness.agg(F.coalesce(F.bool_or(F.col("verdict") == "FAIL"), F.lit(False)).alias("drift"))
+    whole = index.crossJoin(runs).crossJoin(drift)  # one row each
+    lost = F.col("runs") - F.col("successes")
+    verdict = (
+        F.when(F.col("drift"), "FAIL — feasibility verdict drift across engines").when(F.col("low"), "WARN — at least one cell has R < 0.80")
+        .when(lost > 0, say("WARN — ", lost.cast("string"), "/", F.col("runs").cast("string"), " cell(s) failed")).otherwise("PASS")
+    )
+    one = F.lit("")
+    key = F.concat_ws("\t", "scenario", "engine", "mode")
+    bundle = hashes.select("scenario").distinct()
+    row = say("| `", F.col("scenario"), "` | `", F.col("engine"), "` | `", F.col("mode"), "` | ", F.col("n_tt").cast("string"), " | ", number(F.col("mean_tt"), 2), " | ", number(F.col("std_tt"), 2), " | ", number(F.col("r"), 4), " | ", level(F.col("r")), " |")
+    error = F.substring(F.split(F.coalesce("error", F.lit("")), "\n")[0], 1, 72)
+    return document(
+        text(spark, 0, f"# Reproducibility Scorecard — `{name}`", ""), block(1, whole, one, say("**Overall verdict: `", verdict, "`**"), ""),
+        text(spark, 2, "## Provenance", ""), section(3, bundle, F.col("scenario"), say("- `", F.col("scenario"), "`"), 0),
+        section(3, hashes, F.concat_ws("\t", "scenario", "name"), say("  - `", F.col("name"), "` — `", F.substring("sha256", 1, 32), "…`"), 1),
+        text(spark, 4, "", "## Cross-engine fairness", "", "| Scenario | Q1 verdict | Engines reporting |", "|---|---|---|"),
+        section(5, fairness, F.col("scenario"), say("| `", F.col("scenario"), "` | `", F.col("verdict"), "` | ", F.col("engines"), " |")),
+        text(spark, 6, "", "## Reproducibility", "", "| Scenario | Engine | Mode | N reps | mean TT (s) | σ (s) | R | Verdict |", "|---|---|---|---:|---:|---:|---:|---|"), section(7, good, key, row),
+        block(8, whole.where("r IS NOT NULL"), one, "", say("**Overall R (mean across cells with N≥2):** `", fixed(F.col("r"), 4), "` (", level(F.col("r")), ")")),
+        block(9, whole, one, "", "## Run summary", "", say("- **Total runs:** ", F.col("runs").cast("string")), say("- **Successful:** ", F.col("successes").cast("string")), say("- **Failed:** ", lost.cast("string"))),
+        block(10, whole.where(lost > 0), one, "", "### Failed runs", "", "| Scenario | Engine | Mode | Seed | Error |", "|---|---|---|---:|---|"),
+        section(11, failed, F.concat_ws("\t", key, F.lpad(F.col("seed").cast("string"), 9, "0")), say("| `", F.col("scenario"), "` | `", F.col("engine"), "` | `", F.col("mode"), "` | ", F.col("seed").cast("string"), " | ", error, " |")),
+    )
