@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("statistics", "networks", "projections", "reports", "spatial", "files", "travel", "bundles", "audits")
+MODULES: tuple[str, ...] = ("statistics", "networks", "projections", "reports", "spatial", "files", "travel", "bundles", "audits", "ways")
 
 
 def load_all() -> None:
