@@ -14,6 +14,7 @@ from corridor.registry import query
 from corridor.session import materialise, shared_dir
 from corridor.sinks import files as out
 from corridor.sinks import lines as doc
+from corridor.sources import cells
 from corridor.sources import files as src
 
 #: Nodes and links with all attributes, in Spark's SQL and DuckDB's alike.
@@ -897,26 +898,81 @@ def src_harness_log(spark, sf_dir):
 _DISK = "dk AS (SELECT engine, mode, seed, CASE WHEN seed % 5 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN seed % 10 = 0 THEN 'parse failed' END AS error FROM tp WHERE k = 1 AND seed % 4 <> 3), ex AS (SELECT unnest(['sumo', 'matsim', 'dtalite']) AS engine, 'meso' AS mode, CAST(i AS INTEGER) AS seed FROM (SELECT DISTINCT l_orderkey % 500 AS i FROM lineitem))"
 
 
-for _name in ("join_recover", "snk_recovered_json", "src_cell_sumo", "src_cell_matsim", "src_cell_dtalite"):
-    _only = {"src_cell_sumo": "sumo", "src_cell_matsim": "matsim", "src_cell_dtalite": "dtalite"}.get(_name)
+for _name in ("join_recover", "snk_recovered_json"):
 
-    def _recover(spark, sf_dir, only=_only):
+    def _recover(spark, sf_dir, as_json=_name == "snk_recovered_json"):
         log = materialise(_log(spark, sf_dir), "log")  # read by three branches
         disk = log.where("seed % 4 <> 3").select("engine", "mode", "seed", F.when(F.col("seed") % 5 == 0, "failed").otherwise("success").alias("status"), F.when(F.col("seed") % 10 == 0, "parse failed").alias("error"))
         seeds = views.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("id")).distinct()
         expected = seeds.select(F.lit("s").alias("scenario"), F.explode(F.array(*map(F.lit, ("sumo", "matsim", "dtalite")))).alias("engine"), F.lit("meso").alias("mode"), F.col("id").cast("int").alias("seed"), F.lit(600).alias("timeout_s"))
         found = src.recovered(expected, disk, log).drop("scenario")
-        return found.where(F.col("engine") == only) if only else found
+        if not as_json:
+            return found
+        path = _path(spark, "recovered")
+        found.write.json(path)
+        return spark.read.schema(found.schema).json(path)
 
     query(
         _name,
         f"WITH {_TAPE_SQL}, {_DISK}, jn AS (SELECT ex.*, coalesce(dk.status, 'failed') AS status, dk.error AS de, lg.status AS ls, lg.wall_s AS lw, lg.engine_s AS le FROM ex LEFT JOIN dk USING (engine, mode, seed) LEFT JOIN (SELECT * FROM tp WHERE k = 1) lg USING (engine, mode, seed)), "
         "er AS (SELECT *, CASE WHEN status = 'failed' THEN coalesce(de, CASE engine WHEN 'dtalite' THEN 'DTALITE timeout after 600s' ELSE 'Cell artifact missing: ' || engine END) END AS error FROM jn) "
         "SELECT engine, mode, seed, status, error, CASE WHEN status = 'success' AND ls = 'success' THEN le WHEN engine = 'dtalite' THEN 600 WHEN status = 'success' THEN coalesce(lw, 0) ELSE 0 END::DOUBLE AS runtime_s, "
-        "CASE WHEN status = 'success' AND ls = 'success' THEN lw WHEN engine = 'dtalite' THEN 600 WHEN status = 'success' THEN coalesce(lw, 0) ELSE 0 END::DOUBLE AS cell_wall_s FROM er" + (f" WHERE engine = '{_only}'" if _only else ""),
+        "CASE WHEN status = 'success' AND ls = 'success' THEN lw WHEN engine = 'dtalite' THEN 600 WHEN status = 'success' THEN coalesce(lw, 0) ELSE 0 END::DOUBLE AS cell_wall_s FROM er",
     )(_recover)
 
 
+#: Runs of three engines, a file each: some cut short, some empty, some absent.
+_RUN = "CAST(l_orderkey % 60 AS INT) AS seed, CASE l_linenumber % 3 WHEN 0 THEN 'sumo' WHEN 1 THEN 'matsim' ELSE 'dtalite' END AS engine, CASE WHEN l_orderkey % 2 = 0 THEN 'meso' ELSE 'micro' END AS mode"
+_TRIP_LINE = {
+    "sumo": "'<tripinfo id=\"veh_' || l_orderkey || '\" duration=\"' || CASE WHEN l_partkey % 9 = 0 THEN 'x' ELSE l_partkey || '.5' END || '\"/>'",
+    "matsim": "l_orderkey || ';' || lpad(CAST(l_partkey % 3 AS STRING), 2, '0') || ':' || lpad(CAST(l_partkey % 60 AS STRING), 2, '0') || ':00'",
+    "dtalite": "(l_partkey % 90) || ',' || CASE WHEN l_partkey % 10 = 0 THEN '' ELSE CAST(l_partkey % 4 AS STRING) END",
+}
+_HEAD = {"sumo": "<tripinfos>", "matsim": "person;trav_time", "dtalite": "travel_time,volume"}
+
+
+def _cell_folder(spark, sf_dir):
+    path = _path(spark, "cells")
+    line = views.table(spark, sf_dir, "lineitem")
+    for engine, text in _TRIP_LINE.items():
+        rows = line.selectExpr(*_RUN.split(", CASE")[:1], *("CASE" + x for x in _RUN.split(", CASE")[1:]), f"{text} AS line").where(f"engine = '{engine}' AND seed % 7 <> 2")
+        # a run's lines make one file; runs are small here
+        by = rows.groupBy("engine", "mode", "seed").agg(F.concat_ws("\n", F.collect_list("line")).alias("body"))
+        end = F.when(F.col("seed") % 7 == 1, "<tripinfo id=\"").otherwise("</tripinfos>") if engine == "sumo" else F.when(F.col("seed") % 7 == 1, "a;b:c:d" if engine == "matsim" else "a,b")
+        whole = F.when(F.col("seed") % 7 == 3, F.lit(_HEAD[engine]) if engine != "sumo" else F.lit("")).otherwise(F.concat_ws("\n", F.lit(_HEAD[engine]), "body", end))
+        kept = by.select("engine", "mode", "seed", whole.alias("text"))
+        packed = kept.where("seed % 7 <> 4") if engine == "matsim" else kept
+        write = lambda df, zipped: df.write.mode("append").option("lineSep", "\n").option("compression", "gzip" if zipped else "none").partitionBy("engine", "mode", "seed").text(path)
+        write(packed.repartition("engine", "mode", "seed"), engine == "matsim")
+        if engine == "matsim":
+            write(kept.where("seed % 7 = 4").repartition("engine", "mode", "seed"), False)  # not packed, so not readable
+    return path
+
+
+_CELL_FILES = (
+    f"tl AS (SELECT {_RUN}, l_partkey AS p FROM lineitem), pn AS (SELECT DISTINCT e.engine, mode, seed FROM tl, (SELECT unnest(['sumo', 'matsim', 'dtalite']) AS engine) e), "
+    "tv AS (SELECT engine, mode, seed, CASE engine WHEN 'sumo' THEN CASE WHEN p % 9 <> 0 THEN p + 0.5 END WHEN 'matsim' THEN nullif(p % 3 * 3600 + p % 60 * 60, 0) ELSE nullif(p % 90, 0) * 60 END::DOUBLE AS t, CASE WHEN engine = 'dtalite' THEN CASE WHEN p % 10 = 0 THEN 1 ELSE p % 4 END ELSE 1 END AS w FROM tl), "
+    "ok AS (SELECT *, sum(w) OVER (PARTITION BY engine, mode, seed ORDER BY t ROWS UNBOUNDED PRECEDING) AS upto FROM tv WHERE t IS NOT NULL AND w > 0), "
+    "sm AS (SELECT engine, mode, seed, CAST(sum(w) AS BIGINT) AS n, sum(t * w) / sum(w) AS m FROM ok GROUP BY ALL), "
+    "pp AS (SELECT engine, mode, seed, n, m, min(t) AS p FROM ok JOIN sm USING (engine, mode, seed) WHERE upto > CASE WHEN engine = 'matsim' THEN least(floor(0.95::DOUBLE * n), n - 1) ELSE floor(0.95::DOUBLE * (n - 1)) END GROUP BY ALL), "
+    "bad AS (SELECT pn.*, n, m, p, CASE WHEN seed % 7 IN (1, 2) OR (seed % 7 = 3 AND engine <> 'dtalite') OR (seed % 7 = 4 AND engine = 'matsim') OR n IS NULL OR seed % 7 = 3 THEN 'failed' ELSE 'success' END AS status FROM pn LEFT JOIN pp USING (engine, mode, seed)) "
+)
+
+
+for _engine in ("sumo", "matsim", "dtalite"):
+
+    @query(
+        f"src_cell_{_engine}",
+        f"WITH {_CELL_FILES} SELECT engine, mode, seed, status, CASE WHEN status = 'failed' THEN CASE WHEN seed % 7 = 2 OR seed % 7 = 3 THEN CASE engine WHEN 'sumo' THEN CASE WHEN seed % 7 = 3 THEN 'tripinfo parse failed' ELSE 'Cell artifact missing: tripinfo.xml' END WHEN 'matsim' THEN CASE WHEN seed % 7 = 3 THEN 'MATSim parser returned no stats' ELSE 'Cell artifact missing: output/output_trips.csv.gz' END ELSE 'DTALITE timeout after 600s' END "
+        "ELSE CASE engine WHEN 'sumo' THEN 'tripinfo parse failed' WHEN 'matsim' THEN 'MATSim parse failed' ELSE 'DTALite parse failed' END END END AS error, CASE WHEN status = 'success' THEN n ELSE 0 END AS trips, round(CASE WHEN status = 'success' THEN m ELSE 0 END, 4) AS mean_tt, CASE WHEN status = 'success' THEN p ELSE 0 END::DOUBLE AS p95_tt "
+        f"FROM bad WHERE engine = '{_engine}'",
+    )
+    def _cell(spark, sf_dir, engine=_engine):
+        line = views.table(spark, sf_dir, "lineitem").selectExpr(*_RUN.split(", CASE")[:1], *("CASE" + x for x in _RUN.split(", CASE")[1:]))
+        planned = line.select("mode", "seed").distinct().select(F.lit(engine).alias("engine"), "mode", "seed", F.lit(600).alias("timeout_s"))
+        return statistics.rounded(cells.recovered(planned, cells.read(spark, _cell_folder(spark, sf_dir)).where(F.col("engine") == engine)))
+
+
 #: Folders of cells in all layouts.
 _FOLDERS = "CASE l_orderkey % 8 WHEN 0 THEN s || '_' || e || '_' || m || '_seed' || k || '/native_files' WHEN 1 THEN s || '/' || e || '/' || m || '/seed_' || k WHEN 2 THEN s || '/' || s || '/' || e || '/' || m || '/seed_' || k WHEN 3 THEN e || '/' || m || '/seed_' || k WHEN 4 THEN s || '/' || e || '/seed_' || k WHEN 5 THEN s || '/' || s || '/' || e || '/seed_' || k WHEN 6 THEN e || '/seed_' || k ELSE s || '/notes' END"
 _PARTS = ["l_orderkey % 8 AS layout", "'city' || (l_orderkey % 3) AS s", "CASE l_linestatus WHEN 'F' THEN 'sumo' ELSE 'matsim' END AS e", "CASE WHEN l_linenumber % 2 = 0 THEN 'meso' ELSE 'micro' END AS m", "l_linenumber AS k", "l_orderkey"]
