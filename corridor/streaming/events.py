@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,31 +24,39 @@ def throughput(events: DataFrame, bin_size: str, late: str) -> DataFrame:
 def visits(events: DataFrame, late: str, forget_ms: int) -> DataFrame:
     """``veh, link, t_in, t_out``: a leave (``at, type, veh, link, pos``) matches where its key's event just before is an enter.
 
-    A key's last enter is its whole state, and goes ``forget_ms`` after the watermark passed it.
+    Events wait in a key's state until the watermark has passed them and are then paired in the
+    order of ``at, pos``, whatever batch brought them; those later than ``late`` are left out. An
+    enter without a leave goes ``forget_ms`` after the watermark passed it.
     """
 
     def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "pos"])
-        opened = state.get[0] if state.exists else None
+        opened, held = json.loads(state.get[0]) if state.exists else (None, [])
+        if not state.hasTimedOut:
+            for rows in frames:
+                held += map(list, zip(rows["us"].tolist(), rows["pos"].tolist(), (rows["type"] == "entered").tolist()))
+        now = state.getCurrentWatermarkMs()
+        held.sort()
+        done = next((i for i, (us, *_) in enumerate(held) if us // 1000 >= now), len(held))
         out = []
-        for kind, at in zip(rows["type"], rows["at"]):
-            if kind == "entered":
-                opened = at
+        for us, _, enters in held[:done]:
+            if enters:
+                opened = us
             else:
-                if opened is not None and at > opened:
-                    out.append((*key, opened, at))
+                if opened is not None and us > opened:
+                    out.append((*key, opened, us))
                 opened = None
-        if opened is None:
+        held = held[done:]
+        if not held and opened is not None and now >= opened // 1000 + forget_ms:
+            opened = None
+        if held or opened is not None:
+            state.update((json.dumps((opened, held)),))
+            state.setTimeoutTimestamp(max(now, held[0][0] // 1000 if held else opened // 1000 + forget_ms) + 1)
+        elif state.exists:
             state.remove()
-        else:
-            state.update((opened,))
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(opened).timestamp() * 1000), state.getCurrentWatermarkMs()) + forget_ms)
         yield pd.DataFrame(out, columns=["veh", "link", "t_in", "t_out"])
 
-    kept = events.where("type IN ('entered', 'left')").withWatermark("at", late)
-    return kept.groupBy("veh", "link").applyInPandasWithState(
-        pair, "veh long, link long, t_in timestamp, t_out timestamp", "opened timestamp", "append", GroupStateTimeout.EventTimeTimeout
+    kept = events.where("type IN ('entered', 'left')").withWatermark("at", late).withColumn("us", F.unix_micros("at"))
+    found = kept.groupBy("veh", "link").applyInPandasWithState(
+        pair, "veh long, link long, t_in long, t_out long", "waiting string", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return found.select("veh", "link", F.timestamp_micros("t_in").alias("t_in"), F.timestamp_micros("t_out").alias("t_out"))

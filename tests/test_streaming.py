@@ -32,3 +32,19 @@ def test_streams_equal_tables(spark, tmp_path):
     found = _finish(streams.visits(source(), "1 day", 86_400_000), "stays", spark)
     wanted = tables.visits(plain.where("type <> 'other'"))
     assert sorted(map(tuple, found.select("veh", "link", F.unix_micros("t_in"), F.unix_micros("t_out")).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_visits_pair_by_time_across_batches(spark, tmp_path):
+    """Files whose events are out of order, one file a batch."""
+    rnd = random.Random(8)
+    rows = [(i, rnd.randint(1, 3), 1, rnd.choice(["entered", "left"]), 1_700_000_000 + i * 20) for i in range(120)]
+    shuffled = rnd.sample(rows, len(rows))
+    last = (999, 1, 1, "entered", 1_700_000_000 + 900_000)
+    frame = lambda own: spark.createDataFrame(own, "pos long, veh long, link long, type string, s long").withColumn("at", F.timestamp_seconds("s")).drop("s")
+    for own in (shuffled[:40], shuffled[40:80], shuffled[80:], [last]):
+        frame(own).coalesce(1).write.mode("append").json(str(tmp_path))
+    source = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    found = _finish(streams.visits(source, "1 day", 86_400_000), "shuffled_stays", spark)
+    wanted = tables.visits(frame(rows).withColumn("t", F.unix_micros("at")))
+    got = sorted(map(tuple, found.select("veh", "link", F.unix_micros("t_in"), F.unix_micros("t_out")).collect()))
+    assert got and got == sorted(map(tuple, wanted.collect()))
