@@ -167,12 +167,14 @@ def draw(rows: DataFrame, places: DataFrame, parts: list[Component], seed: int,
     """
     own = tree(places, list(dict.fromkeys(p.mass for p in parts)), leaf)
     left, done, j, tries = materialise(rows, "draws"), None, 0, 4
-    n = left.count()
+    n, cores = left.count(), rows.sparkSession.sparkContext.defaultParallelism
     while n:
         if j >= patience:
             found = _all_weighed(left, own, parts, seed)
         else:
-            spread = left.withColumn("j", F.explode(F.sequence(F.lit(j), F.lit(j + tries - 1))))
+            # few rows, much work for each: as many tasks as there are cores
+            dealt = left.repartition(max(cores, left.rdd.getNumPartitions()), "k")
+            spread = dealt.withColumn("j", F.explode(F.sequence(F.lit(j), F.lit(j + tries - 1))))
             found = _tried(spread, own, parts, seed).groupBy(*rows.columns).agg(F.min_by("node", "j").alias("node"))
         found = materialise(found, "drawn")
         done = found if done is None else done.union(found)

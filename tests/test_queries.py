@@ -9,8 +9,8 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-#: Each searches the same component as gr_scc, which takes most of their time; the driver runs them all.
-SAME_SEARCH = {"flt_scc_nodes", "flt_scc_matsim", "agg_scc_links", "gr_scc_synth", "gr_reachability", "agg_origin_weight", "topk_unroutable"}
+#: The same search of paths as gr_bfs_sumo; the driver runs it.
+SAME_SEARCH = {"topk_unroutable"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.oracles()) - SAME_SEARCH))
