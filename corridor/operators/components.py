@@ -94,16 +94,16 @@ def _table(block: str, rows: list[tuple[str, str, str | None]]) -> pa.Table:
 
 
 def _up(table: pa.Table) -> pa.Table:
-    """Of a block's links (``e``) and touched nodes (``i`` and ``o``): each node's inner component (``m``), their links (``c``), and those of the next round (``n``)."""
+    """Of a block's links (``e``) and touched nodes (``t``): each node's inner component (``m``), their links (``c``), and those of the next round (``n``)."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "x", "y"))))
     pairs = [(x, y) for k, x, y in rows if k == "e"]
     nodes = sorted({x for _, x, _ in rows} | {y for _, y in pairs})
     home = {node: min(own) for own in _searched_block(nodes, _ways(pairs)) for node in own}
     inner = {(home[a], home[b]) for a, b in pairs if home[a] != home[b]}
-    into, out = ({home[x] for k, x, _ in rows if k == kind} for kind in "io")
+    touched = {home[x] for k, x, _ in rows if k == "t"}
     edges, passed = _ways(inner), inner
-    if len(into | out) <= TOUCHED * len(set(home.values())):
-        passed = {(a, b) for a in into for b in _reached(a, edges) & out if a != b}
+    if len(touched) <= TOUCHED * len(set(home.values())):
+        passed = {(a, b) for a in touched for b in _reached(a, edges) & touched if a != b}
     found = [("m", a, b) for a, b in home.items()] + [("c", a, b) for a, b in inner] + [("n", a, b) for a, b in passed]
     return _table(table.column("block")[0].as_py(), found)
 
@@ -193,7 +193,7 @@ def _labels(edges: DataFrame, block: int) -> DataFrame:
     placed = materialise(edges.join(at("a"), "a").join(at("b"), "b"), "placed")
     inner, cross = placed.where("a_block = b_block"), placed.where("a_block <> b_block")
     none = F.lit(None)
-    work = row(inner, "a_block", "e", "a", F.col("b")).union(row(cross, "a_block", "o", "a", none).distinct()).union(row(cross, "b_block", "i", "b", none).distinct())
+    work = row(inner, "a_block", "e", "a", F.col("b")).union(row(cross, "a_block", "t", "a", none).union(row(cross, "b_block", "t", "b", none)).distinct())
     made = materialise(work.groupBy("block").applyInArrow(_up, _ROWS), "made")
     homes = made.where("kind = 'm'").select(F.col("x").alias("node"), F.col("y").alias("home"))
     to = lambda end: homes.select(F.col("node").alias(end), F.col("home").alias(f"{end}_home"))

@@ -64,3 +64,44 @@ def test_a_long_network_takes_few_jobs(spark, monkeypatch):
     seed = "2500.0"
     assert {r["node"] for r in found.collect()} == components._reached(seed, ways) & components._reached(seed, back)
     assert len(written) <= 40
+
+
+def _rounds(edges, rnd):
+    """The rounds over the block functions alone, with any cut into blocks."""
+    nodes = sorted({x for e in edges for x in e})
+    if len(nodes) <= 6:
+        return {x: min(own) for own in components._searched_block(nodes, components._ways(edges)) for x in own}
+    n = max(2, len(nodes) // 5)
+    block = {x: i * n // len(nodes) if rnd.random() < 0.9 else rnd.randrange(n) for i, x in enumerate(nodes)}
+    cross = [e for e in edges if block[e[0]] != block[e[1]]]
+    made = {}
+    for b in set(block.values()):
+        rows = [("e", *e) for e in edges if block[e[0]] == b == block[e[1]]] + [("t", x, None) for x in {x for e in cross for x in e if block[x] == b}]
+        if rows:
+            made[b] = components._up(components._table(str(b), rows)).to_pylist()
+    home = {r["x"]: r["y"] for m in made.values() for r in m if r["kind"] == "m"}
+    graph = {(home[a], home[c]) for a, c in cross} | {(r["x"], r["y"]) for m in made.values() for r in m if r["kind"] == "n"}
+    both = {a for a, _ in graph} & {b for _, b in graph}
+    rest = sorted(e for e in graph if e[0] in both and e[1] in both and e[0] != e[1])
+    above = _rounds(rest, rnd) if rest and len({x for e in rest for x in e}) < len(nodes) else {x: own for x, own in _plain(rest).items()}
+    out = {}
+    for b, m in made.items():
+        rows = [(r["kind"], r["x"], r["y"]) for r in m if r["kind"] != "n"] + [("l", h, above[h]) for h in {r["y"] for r in m if r["kind"] == "m"} & set(above)]
+        found = {r["x"]: r["y"] for r in components._down(components._table(str(b), rows)).to_pylist()}
+        out.update({x: found[h] for x, h in home.items() if block[x] == b})
+    return out
+
+
+def test_any_cut_is_right():
+    for seed in range(800):
+        rnd = random.Random(seed)
+        n = rnd.randint(4, 60)
+        names = [f"v{i:03}" for i in range(n)]
+        line = {(names[i], names[i + 1]) for i in range(n - 1)} | {tuple(sorted((rnd.choice(names), rnd.choice(names)), reverse=True)) for _ in range(rnd.randint(0, 6))}
+        loose = {(rnd.choice(names), rnd.choice(names)) for _ in range(rnd.randint(3, 3 * n))}
+        pairs = sorted(e for e in (line if seed % 2 else loose) if e[0] != e[1])
+        found = _rounds(pairs, rnd)
+        least = {}
+        for node, label in found.items():
+            least[label] = min(node, least.get(label, node))
+        assert {node: least[label] for node, label in found.items()} == _plain(pairs)
