@@ -34,15 +34,21 @@ def running_sums(rows: DataFrame, keys: list[str], value: str, sums: list[str],
     return inner.select(*rows.columns, *((F.col(f"{s}_upto") + F.col(f"_{s}")).alias(f"{s}_upto") for s in sums))
 
 
-def value_at(counts: DataFrame, keys: list[str], value: str, weight: str, index: Column, levels: int = 2, bins: int = BINS) -> DataFrame:
-    """``keys, n, value`` of each group: its weight, and the value that holds the ``index``-th unit of it; ``index`` is of ``n``.
+def value_at(counts: DataFrame, keys: list[str], value: str, weight: str, index: Column | str, levels: int = 2, bins: int = BINS) -> DataFrame:
+    """``keys, n, value`` of each group: its weight, and the value that holds the ``index``-th unit of it.
+
+    ``index`` is an expression of ``n``, or names a column of ``counts`` that is alike in a group.
 
     ``counts`` (one row a value) is written once. A level is one sum over it: of the group's
     range of values, cut into equal steps, the step that holds the index is the next range, as
     narrow as its values. What is left after the levels alone is sorted.
     """
-    rows = materialise(counts.select(*keys, F.col(value).alias("_x"), F.col(weight).cast("long").alias("_w")), "counts")
-    state = rows.groupBy(*keys).agg(F.sum("_w").alias("n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).where("n > 0").withColumn("_at", index.cast("long"))
+    named = isinstance(index, str)
+    own = F.col(index).cast("long") if named else F.lit(None).cast("long")
+    rows = materialise(counts.select(*keys, F.col(value).alias("_x"), F.col(weight).cast("long").alias("_w"), own.alias("_given")), "counts")
+    state = rows.groupBy(*keys).agg(F.sum("_w").alias("n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.first("_given").alias("_given")).where("n > 0")
+    state = state.withColumn("_at", F.col("_given") if named else index.cast("long")).drop("_given")
+    rows = rows.drop("_given")
     by = W.partitionBy(*keys)
 
     def held() -> DataFrame:
