@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corridor.functions import clock, geo, identity, labels, roads
+from corridor.functions import clock, geo, identity, labels, numbers, roads
 from corridor.operators import fidelity, statistics
 from corridor.plans.derived import frame, sql
 from corridor.registry import query
@@ -125,7 +125,7 @@ _T = (
 )
 _HALF = f"CASE WHEN n < 2 THEN 0 ELSE {_T} * y / sqrt(n) END"
 _project("prj_t_crit", "readings", "id", lambda: statistics.t_critical(_c("n")), _T)
-_project("prj_geh", "readings", "id", lambda: F.round(fidelity.geh(F.col("geh"), F.col("y")), 6), "CASE WHEN geh <= 0 OR y <= 0 THEN 'Infinity'::DOUBLE ELSE round(sqrt(2 * (y - geh) * (y - geh) / (y + geh)), 6) END")
+_project("prj_geh", "readings", "id", lambda: numbers.rounded(fidelity.geh(F.col("geh"), F.col("y")), 6), "CASE WHEN geh <= 0 OR y <= 0 THEN 'Infinity'::DOUBLE ELSE round(sqrt(2 * (y - geh) * (y - geh) / (y + geh)), 6) END")
 _project("prj_interpret_geh", "readings", "id", lambda: labels.geh_reading(_c("geh")), "CASE WHEN geh < 5 THEN 'acceptable' WHEN geh < 10 THEN 'warrants investigation' ELSE 'poor fit' END")
 _project("prj_ci_low", "readings", "id", lambda: F.col("x") - statistics.half_width(_c("n"), _c("y")), f"x - {_HALF}")
 _project("prj_ci_high", "readings", "id", lambda: F.col("x") + statistics.half_width(_c("n"), _c("y")), f"x + {_HALF}")
@@ -143,7 +143,7 @@ _project("prj_q3_mark", "readings", "id", lambda: F.when(F.col("n") == F.floor("
 )
 def prj_bbox_center(spark, sf_dir):
     found = geo.box_around(*map(F.col, ("lat", "lon", "radius")))
-    return frame(spark, sf_dir, "boxes").select("id", *(F.round(c, 8).alias(k) for k, c in found.items()))
+    return frame(spark, sf_dir, "boxes").select("id", *(numbers.rounded(c, 8).alias(k) for k, c in found.items()))
 
 
 @query("src_bbox_string", sql("boxes", "SELECT id, lat + 1 AS north, lat AS south, lon + 1 AS east, lon AS west FROM f"))
@@ -169,7 +169,7 @@ def prj_link_key(spark, sf_dir):
 def prj_line_width(spark, sf_dir):
     by = frame(spark, sf_dir, "link_speeds").groupBy("link_id").agg(F.sum("volume").alias("v")).where("v > 0")
     ends = by.agg(F.min("v").alias("a"), F.max("v").alias("b"))  # one row
-    return by.crossJoin(F.broadcast(ends)).select("link_id", F.round(geo.scaled_width(F.col("v"), F.col("a"), F.col("b"), 0.5, 3.0), 6).alias("value"))
+    return by.crossJoin(F.broadcast(ends)).select("link_id", numbers.rounded(geo.scaled_width(F.col("v"), F.col("a"), F.col("b"), 0.5, 3.0), 6).alias("value"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corridor import views
-from corridor.functions import labels
+from corridor.functions import labels, numbers
 from corridor.operators import fidelity, reports, statistics
 from corridor.operators.statistics import rounded
 from corridor.plans.statistics import _CELLS, _CI
@@ -186,7 +186,7 @@ def _fidelity(spark, sf_dir):
     ),
 )
 def agg_fidelity(spark, sf_dir):
-    return rounded(_fidelity(spark, sf_dir)).withColumn("rmse", F.round("rmse", 2))
+    return rounded(_fidelity(spark, sf_dir)).withColumn("rmse", numbers.rounded("rmse", 2))
 
 
 @query("join_matched_trips", views.with_views("trip_times", "SELECT a.trip_id, a.tt AS a, b.tt AS b, abs(a.tt - b.tt) AS gap FROM trip_times a JOIN trip_times b ON a.trip_id = b.trip_id WHERE a.engine = 'F' AND b.engine = 'O'"))
@@ -443,7 +443,7 @@ def gen_seeds(spark, sf_dir):
 @query("agg_feasible_fraction", views.with_views("trips", "SELECT mode, round(coalesce(count(*) FILTER (destination IS NOT NULL AND origin <> destination) / nullif(count(*), 0), 1.0), 6) AS fraction FROM trips GROUP BY mode"))
 def agg_feasible_fraction(spark, sf_dir):
     good = F.count(F.when(F.col("destination").isNotNull() & (F.col("origin") != F.col("destination")), 1))
-    return views.trips(spark, sf_dir).groupBy("mode").agg(F.round(F.coalesce(F.try_divide(good, F.count("*")), F.lit(1.0)), 6).alias("fraction"))
+    return views.trips(spark, sf_dir).groupBy("mode").agg(numbers.rounded(F.coalesce(F.try_divide(good, F.count("*")), F.lit(1.0)), 6).alias("fraction"))
 
 
 @query("agg_mean_skipnull", _wall_sql("SELECT scenario, mode, seed, round(avg(cell_wall_s), 4) AS mean FROM w GROUP BY ALL"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corridor import views
-from corridor.functions import geo, roads
+from corridor.functions import geo, numbers, roads
 from corridor.operators import network, ranges, signals, spatial
 from corridor.operators.statistics import rounded
 from corridor.plans.derived import frame, sql
@@ -108,7 +108,7 @@ for _name in ("join_tract_tt", "agg_tract_mean_tt", "map_tt"):
     @query(_name, _point_sql(f", {_TRACTS} SELECT polygon, CAST(sum(w) AS BIGINT) AS n, CAST(sum(w * (id % 100)) AS BIGINT) AS total, round(sum(w * (id % 100)) / sum(w), 6) AS mean_tt FROM h JOIN q USING (id) GROUP BY polygon"))
     def _means(spark, sf_dir):
         by = _located(spark, sf_dir).groupBy("polygon").agg(F.sum("w").cast("long").alias("n"), F.sum(F.col("w") * (F.col("id") % 100)).cast("long").alias("total"))
-        return by.withColumn("mean_tt", F.round(F.col("total") / F.col("n"), 6))
+        return by.withColumn("mean_tt", numbers.rounded(F.col("total") / F.col("n"), 6))
 
 
 #: Polylines: the lines of an order in turn.

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corridor import views
+from corridor.functions import numbers
 from corridor.operators import ways
 from corridor.operators.statistics import rounded
 from corridor.plans.projections import _READ, _SPEEDS
@@ -94,5 +95,5 @@ def src_osm_ways(spark, sf_dir):
     _vertices(spark, sf_dir).write.json(path)
     read = spark.read.schema("way long, pos long, node long, x double, y double").json(path)
     wanted = views.table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("way"))
-    total = lambda c: F.round(F.aggregate("points", F.lit(0.0), lambda a, p: a + p[c]), 6).alias(c)
+    total = lambda c: numbers.rounded(F.aggregate("points", F.lit(0.0), lambda a, p: a + p[c]), 6).alias(c)
     return ways.geometries(read, wanted).select("way", F.size("points").cast("long").alias("n"), total("x"), total("y"))
