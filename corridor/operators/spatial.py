@@ -2,39 +2,76 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corridor.functions.geo import cell, haversine_km
+from corridor.session import materialise
 
 #: Kilometres of a degree of latitude, from below: cells by it are never too small.
 DEGREE_KM = 110.0
 
 
+#: Sites of a cell beyond which nearer ones are looked for first.
+CROWD = 32
+
+
 def nearest_in_grid(points: DataFrame, sites: DataFrame, size: float, max_km: float) -> DataFrame:
     """``id, site, km``: the nearest site in a point's cell and the eight around, within ``max_km``; the first by ``pos`` of equal ones."""
-    at = sites.select(F.col("id").alias("site"), "pos", F.col("lat").alias("slat"), F.col("lon").alias("slon"), cell(F.col("lat"), size).alias("cy"), cell(F.col("lon"), size).alias("cx"))
-    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
-    spread = points.select("id", "lat", "lon", around(cell(F.col("lat"), size)).alias("cy"), cell(F.col("lon"), size).alias("x")).select("id", "lat", "lon", "cy", around(F.col("x")).alias("cx"))
-    return _nearest(spread.join(at, ["cy", "cx"]), max_km)
+    near = (F.abs(cell(F.col("lat"), size) - cell(F.col("slat"), size)) <= 1) & (F.abs(cell(F.col("lon"), size) - cell(F.col("slon"), size)) <= 1)
+
+    def last(points: DataFrame, sites: DataFrame) -> DataFrame:
+        at = sites.select(F.col("id").alias("site"), "pos", F.col("lat").alias("slat"), F.col("lon").alias("slon"), cell(F.col("lat"), size).alias("cy"), cell(F.col("lon"), size).alias("cx"))
+        around = lambda c: F.explode(F.array(c - 1, c, c + 1))
+        spread = points.select("id", "lat", "lon", around(cell(F.col("lat"), size)).alias("cy"), cell(F.col("lon"), size).alias("x")).select("id", "lat", "lon", "cy", around(F.col("x")).alias("cx"))
+        return _nearest(spread.join(at, ["cy", "cx"]), max_km)
+
+    return _near_first(points, sites, max_km, near, last)
 
 
 def nearest_within(points: DataFrame, sites: DataFrame, max_km: float) -> DataFrame:
-    """``id, site, km``: the nearest of all sites within ``max_km``. Cells are bands of that height; a band's sites are met in as many columns as its latitude asks."""
+    """``id, site, km``: the nearest of all sites within ``max_km``; the first by ``pos`` of equal ones."""
+    return _near_first(points, sites, max_km, F.lit(True), lambda points, sites: _within(points, sites, max_km))
+
+
+def _near_first(points: DataFrame, sites: DataFrame, max_km: float, counts: Column, last: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The nearest sites by ``last``, after those within a few smaller and growing distances.
+
+    A point's nearest site of all, if it ``counts``, is the one that ``last`` would find, so the point need not
+    meet the many sites of a crowded cell. The smallest distance follows the fullest cell.
+    """
+    band = lambda c: F.floor(F.col(c) * DEGREE_KM / max_km)
+    fullest = sites.groupBy(band("lat").alias("y"), band("lon").alias("x")).count().agg(F.max("count")).first()[0] or 0  # one number
+    steps = math.ceil(math.log(fullest / CROWD, 16)) if fullest > CROWD else 0
+    if not steps:
+        return last(points, sites)
+    left, sites, done = materialise(points.select("id", "lat", "lon"), "points"), materialise(sites.select("id", "pos", "lat", "lon"), "sites"), []
+    for k in range(steps, 0, -1):
+        done.append(materialise(_within(left, sites, max_km / 4**k, counts), "nearest"))
+        left = materialise(left.join(done[-1].select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_anti"), "points")
+    return reduce(DataFrame.union, [*done, last(left, sites)])
+
+
+def _within(points: DataFrame, sites: DataFrame, max_km: float, counts: Column | None = None) -> DataFrame:
+    """Cells are bands of the distance's height; a band's sites are met in as many columns as its latitude asks."""
     size = max_km / DEGREE_KM
     band = lambda c: F.floor(c / size).cast("long")
     at = sites.select(F.col("id").alias("site"), "pos", F.col("lat").alias("slat"), F.col("lon").alias("slon"), band(F.col("lat")).alias("cy"), band(F.col("lon")).alias("cx"))
     reach = F.ceil(1 / F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(89.0))))).cast("long")
     spread = points.select("id", "lat", "lon", F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("cy"), band(F.col("lon")).alias("x"), reach.alias("k"))
     spread = spread.select("id", "lat", "lon", "cy", F.explode(F.sequence(F.col("x") - F.col("k"), F.col("x") + F.col("k"))).alias("cx"))
-    return _nearest(spread.join(at, ["cy", "cx"]), max_km)
+    return _nearest(spread.join(at, ["cy", "cx"]), max_km, counts)
 
 
-def _nearest(pairs: DataFrame, max_km: float) -> DataFrame:
+def _nearest(pairs: DataFrame, max_km: float, counts: Column | None = None) -> DataFrame:
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
-    near = pairs.withColumn("km", km).where(F.col("km") <= max_km)
-    return near.groupBy("id").agg(F.min(F.struct("km", "pos", "site")).alias("b")).select("id", "b.site", "b.km")
+    near = pairs.withColumn("km", km).withColumn("counts", F.lit(True) if counts is None else counts).where(F.col("km") <= max_km)
+    return near.groupBy("id").agg(F.min(F.struct("km", "pos", "site", "counts")).alias("b")).where("b.counts").select("id", "b.site", "b.km")
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
