@@ -148,3 +148,17 @@ def test_census_budgets_are_filled(spark):
     for r in generate.fallback_trips(crowd, nodes, 0, 8_000, 1, 21_600, 80_000).collect():
         counts[r["destination"]] = counts.get(r["destination"], 0) + 1
     assert _chi_square(counts, {f"n{i}": 4 for i in range(50)}) < 4
+
+
+def test_top_cells_are_walked_without_a_join(spark, monkeypatch):
+    nodes = spark.createDataFrame(_nodes(300), KINDS).withColumnRenamed("degree", "w")
+    own = draws.tree(nodes, ["w"], 2)
+    assert own.levels == 2
+    pull = draws.Component("w", draws.F.lit(2.0), lambda m, a, b, col: 1 / (a + 0.1), lambda d: 1 / (d + 0.1))
+    rows = nodes.selectExpr("idx AS k", "node AS origin", "lat", "lon", "0 AS j")
+    assert draws._tried(rows, own, [pull], 1)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the places of leaves
+    found = lambda: sorted(map(tuple, draws._tried(rows, own, [pull], 1).collect()))
+    whole = found()
+    assert whole
+    monkeypatch.setattr(draws, "TOP_LEVELS", 1)
+    assert found() == whole
