@@ -162,3 +162,15 @@ def test_top_cells_are_walked_without_a_join(spark, monkeypatch):
     assert whole
     monkeypatch.setattr(draws, "TOP_LEVELS", 1)
     assert found() == whole
+
+
+def test_people_and_nodes_are_computed_once(spark):
+    """What census and fallback trips read in many places is read from a file, not made anew."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = lambda x: seen.add(1) or x
+    nodes = spark.createDataFrame(_nodes(60), KINDS).select(generate.F.udf(plain)("node").alias("node"), "idx", "degree", "lat", "lon")
+    people = spark.createDataFrame([(i, f"n{i % 50}", f"n{(i * 7 + 1) % 50}", None, i % 60, "car", i) for i in range(40)], "id long, home string, work string, school string, commute_min int, mode string, place long")
+    for make in (generate.census_trips, generate.fallback_trips):
+        seen.value = 0
+        assert make(people, nodes, 60, 50, 42, 21_600, 80_000).count() == 110
+        assert seen.value == 60
