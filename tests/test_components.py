@@ -66,6 +66,16 @@ def test_a_long_network_takes_few_jobs(spark, monkeypatch):
     assert len(written) <= 40
 
 
+def test_a_network_without_neighbourhood_takes_few_jobs(spark, monkeypatch):
+    """Random links: no cut keeps them within blocks."""
+    rnd = random.Random(9)
+    pairs = [(f"n{rnd.randrange(1_500)}", f"n{rnd.randrange(1_500)}") for _ in range(9_000)] + [("n3", "x1"), ("x1", "x2"), ("x2", "x1"), ("y1", "y2"), ("y2", "y1")]
+    written, plain = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, label: written.append(label) or plain(df, label))
+    assert _found(spark, pairs, 64) == _plain(pairs)
+    assert len(written) <= 24
+
+
 def _rounds(edges, rnd):
     """The rounds over the block functions alone, with any cut into blocks."""
     nodes = sorted({x for e in edges for x in e})
