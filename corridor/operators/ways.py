@@ -12,20 +12,57 @@ from pyspark.sql import functions as F
 from corridor.functions import roads
 from corridor.functions.geo import haversine_km
 from corridor.operators.ranges import dense
+from corridor.session import materialise
 
 #: Fixed value: how near, in degrees, a vertex must be to an end of a link.
 SNAP = 1e-5
 
 
-def segments(vertices: DataFrame) -> DataFrame:
-    """``way, pos, u, v, length_m``: the parts of each way between vertices where it begins, ends or meets a way (itself too)."""
-    often = vertices.groupBy("node").agg(F.count("*").alias("_n"))
+def cuts(vertices: DataFrame, tags: DataFrame) -> DataFrame:
+    """``way, pos, node, x, y, upto, beside, times``: the vertices where a way begins, ends or meets a way (itself too), written once.
+
+    ``upto`` is the length of the way so far, in m, ``beside`` the number of its parts that end
+    here, and ``times`` how many links each part makes. Rows come by ways and stay so: only the vertices that are shared are looked up.
+    """
+    shared = materialise(vertices.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.lit(True).alias("_shared")), "shared")
     along = W.partitionBy("way").orderBy("pos")  # a way's vertices
-    rows = vertices.join(often, "node").withColumns({"_x": F.lag("x").over(along), "_y": F.lag("y").over(along), "_last": F.lead("node").over(along).isNull()})
+    rows = vertices.where("node IS NOT NULL").join(shared, "node", "left").withColumns({"_x": F.lag("x").over(along), "_y": F.lag("y").over(along), "_last": F.lead("node").over(along).isNull()})
     step = F.coalesce(haversine_km(F.col("_y"), F.col("_x"), F.col("y"), F.col("x")) * 1000, F.lit(0.0))
-    rows = rows.withColumn("_upto", F.sum(step).over(along)).where("_n > 1 OR _x IS NULL OR _last")
-    nexts = rows.withColumns({"v": F.lead("node").over(along), "_end": F.lead("_upto").over(along)}).where("v IS NOT NULL")
-    return nexts.select("way", "pos", F.col("node").alias("u"), "v", (F.col("_end") - F.col("_upto")).alias("length_m"))
+    rows = rows.withColumn("upto", F.sum(step).over(along)).where("_shared OR _x IS NULL OR _last")
+    beside = F.lag("node").over(along).isNotNull().cast("int") + F.lead("node").over(along).isNotNull().cast("int")
+    times = tags.groupBy("way").agg(F.sum(F.when(~F.col("oneway"), 2).otherwise(1)).alias("times"))
+    return materialise(rows.withColumn("beside", beside).join(times, "way", "left").select("way", "pos", "node", "x", "y", "upto", "beside", "times"), "cuts")
+
+
+def nodes_of(cut: DataFrame, signals: DataFrame) -> DataFrame:
+    """Nodes at the ends of links, numbered by their vertex; ``signals`` are vertices (``node``) with one."""
+    ends = cut.groupBy("node").agg(F.sum(F.col("beside") * F.coalesce("times", F.lit(0))).alias("degree"), F.min(F.struct("x", "y")).alias("p")).where("degree > 0")
+    lit = signals.select("node").distinct().withColumn("lit", F.lit(True))
+    nodes = dense(ends.join(lit, "node", "left").select("node", "p.x", "p.y", roads.node_type(F.col("degree")).alias("type"), F.coalesce("lit", F.lit(False)).alias("has_signal")), ["node"], "k")
+    return nodes.select(F.concat(F.lit("n"), "k").alias("id"), F.col("node").alias("osm_id"), "x", "y", "type", "has_signal", "k")
+
+
+def links_of(cut: DataFrame, nodes: DataFrame, tags: DataFrame) -> DataFrame:
+    """``id, link_pos, from_node, to_node, length_m, osm_way_id`` and what else ``tags`` have: links numbered by ends, way and place.
+
+    The numbers of nodes rise with their vertices, so they stand for them in the order.
+    """
+    along = W.partitionBy("way").orderBy("pos")
+    rows = cut.select("way", "pos", "node", "upto").join(nodes.select(F.col("osm_id").alias("node"), F.col("k").alias("u")), "node").drop("node")
+    ahead = rows.withColumns({"v": F.lead("u").over(along), "_end": F.lead("upto").over(along)}).where("v IS NOT NULL").withColumn("length_m", F.col("_end") - F.col("upto"))
+    own = [c for c in tags.columns if c not in ("way", "oneway")]
+    link = lambda a, b, back: F.struct(F.col(a).alias("u"), F.col(b).alias("v"), F.lit(back).alias("back"))
+    both = F.when(~F.col("oneway"), F.array(link("u", "v", 0), link("v", "u", 1))).otherwise(F.array(link("u", "v", 0)))
+    real = ahead.where("u <> v AND length_m > 0").join(tags, "way").select("way", "pos", "length_m", *own, F.explode(both).alias("_link")).select("_link.*", "way", "pos", "length_m", *own)
+    placed = dense(real, ["u", "v", "way", "pos", "back"], "k")
+    named = lambda c, name: F.concat(F.lit("n"), c).alias(name)
+    return placed.select(F.concat(F.lit("l"), "k").alias("id"), F.col("k").alias("link_pos"), named("u", "from_node"), named("v", "to_node"), "length_m", F.col("way").alias("osm_way_id"), *own)
+
+
+def attributes(tags: DataFrame) -> DataFrame:
+    """``way, oneway, lanes, speed_mps, highway, name`` of the ways' ``tags``, read once a way."""
+    classed = tags.withColumn("class", roads.pick_class(F.col("highway")))
+    return classed.select("way", "oneway", roads.lanes(F.col("lanes"), F.col("class")).alias("lanes"), roads.speed_mps(F.col("maxspeed"), F.col("class")).alias("speed_mps"), F.col("class").alias("highway"), "name")
 
 
 def network(vertices: DataFrame, tags: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,21 +72,10 @@ def network(vertices: DataFrame, tags: DataFrame, signals: DataFrame) -> tuple[D
     is not one-way; links from a node to itself and those without a length are left out, though
     they count for a node's type.
     """
-    ahead = segments(vertices).join(tags, "way")
-    both = ahead.withColumn("back", F.lit(0)).union(ahead.where("NOT oneway").select("way", "pos", F.col("v").alias("u"), F.col("u").alias("v"), *ahead.columns[4:], F.lit(1).alias("back")))
-    ends = both.select(F.col("u").alias("node")).union(both.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    places = vertices.groupBy("node").agg(F.min(F.struct("x", "y")).alias("p"))
-    lit = signals.select("node").distinct().withColumn("lit", F.lit(True))
-    nodes = dense(ends.join(places, "node").join(lit, "node", "left").select("node", "p.x", "p.y", roads.node_type(F.col("degree")).alias("type"), F.coalesce("lit", F.lit(False)).alias("has_signal")), ["node"], "k")
-    nodes = nodes.select(F.concat(F.lit("n"), "k").alias("id"), F.col("node").alias("osm_id"), "x", "y", "type", "has_signal")
-    real = both.where("u <> v AND length_m > 0").withColumn("class", roads.pick_class(F.col("highway")))
-    placed = dense(real, ["u", "v", "way", "pos", "back"], "k")
-    at = lambda c, name: nodes.select(F.col("osm_id").alias(c), F.col("id").alias(name))
-    links = placed.join(at("u", "from_node"), "u").join(at("v", "to_node"), "v").select(
-        F.concat(F.lit("l"), "k").alias("id"), F.col("k").alias("link_pos"), "from_node", "to_node", "length_m", roads.lanes(F.col("lanes"), F.col("class")).alias("lanes"),
-        roads.speed_mps(F.col("maxspeed"), F.col("class")).alias("speed_mps"), F.col("class").alias("highway"), F.col("way").alias("osm_way_id"), "name",
-    )
-    return nodes, links
+    cut = cuts(vertices, tags)
+    nodes = nodes_of(cut, signals)
+    links = links_of(cut, nodes, attributes(tags))
+    return nodes.drop("k"), links.select("id", "link_pos", "from_node", "to_node", "length_m", "lanes", "speed_mps", "highway", "osm_way_id", "name")
 
 
 def restrictions(relations: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ _WAYS = (
 
 
 def _vertices(spark, sf_dir):
-    line = views.table(spark, sf_dir, "lineitem")
-    first = line.groupBy(F.col("l_orderkey").cast("long").alias("way"), F.col("l_linenumber").cast("long").alias("pos")).agg(F.min("l_partkey").alias("p"))
+    line = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("way"), F.col("l_linenumber").cast("long").alias("pos"), "l_partkey")
+    first = line.repartition("way").groupBy("way", "pos").agg(F.min("l_partkey").alias("p"))  # by way, as what follows wants it
     return first.selectExpr("way", "pos", _NODE).selectExpr(*_XY)
 
 
@@ -44,25 +44,31 @@ def _tags(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").selectExpr(*_TAGS).withColumn("highway", F.split("roads", ",")).drop("roads")
 
 
-def _network(spark, sf_dir):
-    vertices = _vertices(spark, sf_dir)
-    return ways.network(vertices, _tags(spark, sf_dir), vertices.where("node % 4 = 0").select("node"))
+def _signals(spark, sf_dir):
+    return _vertices(spark, sf_dir).where("node % 4 = 0").select("node")
+
+
+def _cuts(spark, sf_dir):
+    return ways.cuts(_vertices(spark, sf_dir), _tags(spark, sf_dir))
 
 
 @query("gen_network", _WAYS + f"SELECT 'l' || k AS id, k AS link_pos, from_node, to_node, round(length_m, 4) AS length_m, coalesce(CASE WHEN regexp_full_match(trim(lanes), '[+-]?[0-9]+') THEN CAST(trim(lanes) AS INTEGER) END, CASE road WHEN 'motorway' THEN 3 WHEN 'secondary' THEN 2 ELSE 1 END) AS lanes, round_even(coalesce(CASE WHEN lower(maxspeed) LIKE '%mph%' THEN {_READ} * 0.44704::DOUBLE ELSE {_READ} / 3.6::DOUBLE END, {_SPEEDS}), 1) AS speed_mps, road AS highway, way AS osm_way_id, name FROM lk")
 def gen_network(spark, sf_dir):
-    return rounded(_network(spark, sf_dir)[1])
+    return rounded(ways.network(_vertices(spark, sf_dir), _tags(spark, sf_dir), _signals(spark, sf_dir))[1])
 
 
 @query("gen_network_nodes", _WAYS + "SELECT id, osm_id, round(x, 4) AS x, round(y, 4) AS y, type, has_signal FROM nd")
 def gen_network_nodes(spark, sf_dir):
-    return rounded(_network(spark, sf_dir)[0])
+    return rounded(ways.nodes_of(_cuts(spark, sf_dir), _signals(spark, sf_dir)).drop("k"))
 
 
 @query("gen_network_restrictions", _WAYS + ", rl AS (SELECT 'no_left_turn' AS type, min(way) AS from_way, node AS via, max(way) AS to_way FROM vx GROUP BY node HAVING count(DISTINCT way) > 1), fi AS (SELECT way, to_node AS nd, 'l' || min(k) AS f FROM lk GROUP BY ALL), fo AS (SELECT way, from_node AS nd, 'l' || min(k) AS t FROM lk GROUP BY ALL) SELECT rl.type, f AS from_link, id AS via_node, t AS to_link FROM rl JOIN nd ON osm_id = via JOIN fi ON fi.way = from_way AND fi.nd = id JOIN fo ON fo.way = to_way AND fo.nd = id".replace(") , rl", "), rl"))
 def gen_network_restrictions(spark, sf_dir):
-    nodes, links = _network(spark, sf_dir)
-    by = _vertices(spark, sf_dir).groupBy(F.col("node").alias("via")).agg(F.min("way").alias("from_way"), F.max("way").alias("to_way"), F.count_distinct("way").alias("n")).where("n > 1")
+    cut = _cuts(spark, sf_dir)
+    nodes = ways.nodes_of(cut, _signals(spark, sf_dir))
+    links = ways.links_of(cut, nodes, _tags(spark, sf_dir).select("way", "oneway"))
+    # vertices of two ways are all among the cuts
+    by = cut.groupBy(F.col("node").alias("via")).agg(F.min("way").alias("from_way"), F.max("way").alias("to_way")).where("from_way <> to_way")
     return ways.restrictions(by.select(F.lit("no_left_turn").alias("type"), "from_way", "via", "to_way"), nodes, links)
 
 

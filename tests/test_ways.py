@@ -1,6 +1,8 @@
 """Ways cut into links and into shapes, by hand-computed cases."""
 
-from corridor.operators import ways
+from pyspark.sql import functions as F
+
+from corridor.operators import ranges, ways
 
 VERTEX = "way long, pos long, node long, x double, y double"
 #: Two ways that cross at 3, one of them closed at its end; 6 lies on 5.
@@ -49,3 +51,21 @@ def test_shapes(spark):
     assert found["near"] == ([(0.0, 0.0), (0.001, 0.0)], True)
     assert found["second"] == ([(0.002, 0.001), (0.002, 0.0), (0.003, -0.001)], True)
     assert all(found[k] == (straight[k], False) for k in ("far", "unknown", "point", "none"))
+
+
+def test_a_network_places_its_vertices_once(spark, monkeypatch):
+    """Nodes and links read the cuts, not the vertices; nodes need no links."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(w, p, w * 10 + p if p else 5, w * 0.01 + p * 0.001, 40.0 + p * 0.002) for w in range(1, 9) for p in range(5)]
+    plain = spark.createDataFrame(rows, "way long, pos long, node long, x double, y double")
+    vertices = plain.withColumn("x", F.udf(lambda x: seen.add(1) or x, "double")("x"))
+    tags = spark.createDataFrame([(w, ["residential"], None, None, "a", w % 2 == 0) for w in range(1, 9)], "way long, highway array<string>, maxspeed string, lanes string, name string, oneway boolean")
+    written, kept = [], ways.materialise
+    for module in (ways, ranges):
+        monkeypatch.setattr(module, "materialise", lambda df, label: written.append(label) or kept(df, label))
+    nodes, links = ways.network(vertices, tags, plain.where("node = 5").select("node"))
+    assert (nodes.count(), links.count()) == (9, 12)
+    assert seen.value == len(rows)
+    written.clear()
+    assert ways.nodes_of(ways.cuts(plain, tags), plain.select("node")).count() == 9
+    assert written == ["shared", "cuts", "dense"]
