@@ -77,6 +77,36 @@ def test_a_network_without_neighbourhood_takes_few_jobs(spark, monkeypatch):
     assert len(written) <= 20, len(written)
 
 
+def test_long_ways_between_hubs_take_few_jobs(spark, monkeypatch):
+    """Nodes of many ways, a one-way road of many nodes between any two of them: a search would take a job a hop."""
+    rnd, pairs = random.Random(4), [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("h3", "y0"), ("y0", "y1"), ("y1", "y2"), ("y2", "y0"), ("y1", "y3")]
+    for hub in range(20):
+        road = [f"h{hub}", *(f"r{hub}.{i}" for i in range(50)), f"e{hub}"]
+        pairs += list(zip(road, road[1:])) + [(f"e{hub}", f"h{rnd.randrange(20)}") for _ in range(6)]
+    pairs += [("z", "z1"), ("z1", "z2"), ("z2", "z"), ("z", "z3"), ("z3", "z"), ("z", "h0")]  # z has runs alone, back to itself
+    written, plain = [], components.materialise
+    for module in (components, network):
+        monkeypatch.setattr(module, "materialise", lambda df, label: written.append(label) or plain(df, label))
+    assert _found(spark, pairs, 64) == _plain(pairs)
+    assert len(written) <= 45, len(written)
+
+
+def test_rings_alone_end(spark):
+    """Every node has one way in and one way out, so none ends a run."""
+    pairs = [e for i in range(8) for e in ((f"a{i}", f"b{i}"), (f"b{i}", f"a{i}"), (f"c{i}", f"c{(i + 1) % 8}"))]
+    assert _found(spark, pairs, 4) == _plain(pairs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_networks_with_runs(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [(f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}") for _ in range(16)]
+    for i in range(10):
+        road = [f"n{rnd.randrange(12)}", *(f"m{i}.{j}" for j in range(rnd.randint(1, 9))), f"n{rnd.randrange(12)}"]
+        pairs += list(zip(road, road[1:]))
+    assert _found(spark, pairs, 8) == _plain(pairs)
+
+
 def _rounds(edges, rnd):
     """The rounds over the block functions alone, with any cut into blocks."""
     nodes = sorted({x for e in edges for x in e})
