@@ -132,6 +132,17 @@ def test_uniform_pairs_are_even(spark):
     assert _chi_square(counts, dict.fromkeys(counts, 1)) < 4
 
 
+def test_uniform_pairs_keep_what_a_trip_has(spark):
+    """Trips are numbered before they get their ends, so the number goes along."""
+    nodes = spark.createDataFrame([(f"n{i}", i * 700, 1, 0.0, 0.0) for i in range(8)], KINDS)
+    trips = spark.range(300).selectExpr("id AS k", "299 - id AS n")
+    found = generate.uniform_pairs(trips, nodes, 5)
+    bare = generate.uniform_pairs(trips.select("k"), nodes, 5)
+    assert sorted(found.columns) == ["destination", "k", "n", "origin"]
+    assert all(r["n"] == 299 - r["k"] for r in found.collect())
+    assert sorted(found.select("k", "origin", "destination").collect()) == sorted(bare.select("k", "origin", "destination").collect())
+
+
 def test_census_budgets_are_filled(spark):
     nodes = spark.createDataFrame(_nodes(60), KINDS)
     people = [(i, f"n{i % 50}", None if i % 4 == 0 else f"n{(i * 7 + 1) % 50}", f"n{i % 9}" if i % 3 == 0 else None, i % 60, "car", i) for i in range(200)]
