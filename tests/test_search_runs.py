@@ -29,6 +29,8 @@ def test_roads_take_few_levels_and_all_pairs_have_their_paths(spark, monkeypatch
     own = [(p, a, b) for p, _, a, b in rows]
     assert found == {(a, b): _search(own, a, b) for a, b in trips}
     assert sum(widths) < 20
+    hops = {(r["origin"], r["destination"]): r["hops"] for r in network.hop_counts(links, spark.createDataFrame(trips, "origin string, destination string")).collect()}
+    assert hops == {k: path and len(path) - 1 for k, path in found.items()}
 
 
 def test_small_networks_with_runs(spark):
